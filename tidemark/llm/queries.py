@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, html_text, mixing, sharding, simhash, tokens, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,33 @@ def query(name: str, oracle: str | None = None):
 @query("op1_simhash_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_benchmark_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_source_mixing", mixing.oracle())
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select_blocks(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_codes")
+def token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_codes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_url_filter", urls.oracle())
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op8_hypergeometric_sharding")
+def hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
