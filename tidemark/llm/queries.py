@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, mixing, sharding, simhash, tokens, urls
+from . import decontaminate, html_text, langid, mixing, sharding, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,18 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hypergeometric_sharding")
 def hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_exact_top_k", topk.oracle())
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
