@@ -1,4 +1,5 @@
 import random
+import time
 
 from tidemark.llm import html_text as h
 
@@ -63,7 +64,14 @@ def test_odd_pages():
     assert h.extract("<div>" * 50_000 + P)[1] == P
     assert h.extract("<title>t")[0] == "t" and h.extract("<script>never ends")[1] == ""
     assert h.extract(f"<table><tr><td>{P}<td>two</table>")[1] == f"{P}\ntwo"
-    assert h.extract("<a" * 3000)[2] == 0.0
+    assert h.extract("<a" * 30_000) == (None, "<a" * 30_000, 0.0)
+
+
+def test_long_odd_pages_take_linear_time():
+    for page in ("<a " * 100_000 + ">", "<a \">" * 30_001, "<p>No end" * 30_000, "</b>" * 100_000, "<b><i>" * 30_000 + "</i></b>" * 30_000, "<!-- " * 50_000, "<script>" * 50_000, "<td>x" * 30_000, "<" * 200_000, "&" * 100_000):
+        began = time.process_time()
+        h.extract(page)
+        assert time.process_time() - began < 10
 
 
 def test_awkward(spark):

@@ -12,6 +12,7 @@ and the like are left out wherever they stand.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from .common import col
 
 LEAST, LEVELS = 25, 5
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+DEPTH = 512  # elements below this depth are put at it, as browsers do
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _UNLIKELY = re.compile(r"\b(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|cookie\w*|disqus|foot(?:er)?|menu|modal|nav\w*|pager|pagination|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|widget)\b", re.I)
 _LIKELY = re.compile(r"\b(?:article|body|blog|content|entry|h-?entry|main|page|post|story|text)\b", re.I)
@@ -32,7 +34,7 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 _TAG_POINTS = {"div": 5, "article": 10, "main": 10, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 _PARAGRAPH, _CONTAINER = {"p", "pre", "td", "blockquote"}, {"div", "section", "article", "main", "body", "center", "figure", "dd", "li"}
-_COMMA = re.compile("[,،、，]")
+_COMMA, _END = re.compile("[,،、，]"), re.compile(r"[.!?](?:\s|$)")
 
 
 class Page:
@@ -40,16 +42,35 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.last, self.marks, self.title = ["#"], [0], [0], [""], ""
-        self.runs: list[tuple[int, str]] = []
-        stack, at, n = [0], 0, len(html)
-        while at < n:
-            m = _TOKEN.search(html, at)
-            start = m.start() if m else n
-            if start > at:
-                self.runs.append((stack[-1], html[at:start]))
-            if not m:
+        self.runs: list[tuple[int, str | None]] = []  # None is a line's end
+        self.open: Counter[str] = Counter()
+        stack, at, n, start = [0], 0, len(html), 0
+        while True:
+            at = html.find("<", at)
+            if at < 0:
                 break
-            at, name = m.end(), (m[2] or "").lower()
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                end = n if end < 0 else end + 3
+                name = ""
+            elif html[at + 1 : at + 2] in ("!", "?") and html.find(">", at) > 0:
+                end, name = html.find(">", at) + 1, ""
+            else:
+                m = _TAG.match(html, at)
+                if not m and html[at + 1 : at + 3].strip("/")[:1].isalpha() and html.find(">", at) > 0:  # a quote that doesn't end
+                    m = _TAG.match(html[at : html.find(">", at) + 1].translate({34: None, 39: None}))
+                    end = html.find(">", at) + 1
+                elif m:
+                    end = m.end()
+                if not m:
+                    at += 1
+                    if html.find(">", at) < 0:
+                        break
+                    continue
+                name = m[2].lower()
+            if at > start:
+                self.runs.append((stack[-1], html[start:at]))
+            at = start = end
             if not name:
                 continue
             if m[1]:
@@ -59,26 +80,34 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at) if name != "plaintext" else None
                 if name == "title" and not self.title:
                     self.title = " ".join(unescape(html[at : end.start() if end else n]).split())
-                at = end.end() if end else n
+                at = start = end.end() if end else n
                 continue
             if name in _BLOCK:
                 self._end(stack, {"p"}, {"td", "th", "table", "button", "body", "html"})
             if name in _ENDS:
                 self._end(stack, *_ENDS[name])
+            if name == "br":
+                self.runs.append((stack[-1], None))
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.last.append(len(self.tag) - 1)
             self.marks.append(" ".join("".join(x) for x in _ATTRIBUTE.findall(m[3])) if m[3] else "")
-            if name not in _VOID and not (m[3].endswith("/") and name not in _BLOCK):
+            if name not in _VOID and not (m[3].endswith("/") and name not in _BLOCK) and len(stack) < DEPTH:
                 stack.append(len(self.tag) - 1)
-        while stack:
-            self.last[stack.pop()] = len(self.tag) - 1
+                self.open[name] += 1
+        if start < n:
+            self.runs.append((stack[-1], html[start:]))
+        self._pop(stack, 0)
 
     def _pop(self, stack: list[int], to: int) -> None:
         while len(stack) > to:
-            self.last[stack.pop()] = len(self.tag) - 1
+            k = stack.pop()
+            self.last[k] = len(self.tag) - 1
+            self.open[self.tag[k]] -= 1
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == name:
                 self._pop(stack, k)
@@ -88,6 +117,8 @@ class Page:
 
     def _end(self, stack: list[int], ended: set[str], bounds: set[str]) -> None:
         """End the outermost of the given elements that is open inside the nearest bound."""
+        if not any(self.open[x] for x in ended):
+            return
         cut = None
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] in bounds:
@@ -113,17 +144,20 @@ def extract(html: str | None) -> tuple[str | None, str | None, float]:
         link[k] = link[up] or tag[k] == "a"
     runs = []
     length, commas, linked = [0] * n, [0] * n, [0] * n
-    direct, blocks = [0] * n, [False] * n
+    blocks, ends = [False] * n, [False] * n
     for k, raw in page.runs:
         if out[k]:
             continue
+        if raw is None:
+            runs.append((k, None))
+            continue
         text = unescape(raw) if "&" in raw else raw
         size = len(" ".join(text.split()))
         runs.append((k, text))
         if size:
             length[k] += size
-            direct[k] += size
             commas[k] += len(_COMMA.findall(text))
+            ends[k] = ends[k] or _END.search(text) is not None
             if link[k]:
                 linked[k] += size
     for k in range(n - 1, 0, -1):
@@ -131,6 +165,7 @@ def extract(html: str | None) -> tuple[str | None, str | None, float]:
         length[up] += length[k]
         commas[up] += commas[k]
         linked[up] += linked[k]
+        ends[up] = ends[up] or ends[k]
         if tag[k] in _BLOCK and not out[k]:
             blocks[up] = True
         elif blocks[k] and not out[k]:
@@ -150,8 +185,7 @@ def extract(html: str | None) -> tuple[str | None, str | None, float]:
             up = parent[up]
     score = {k: x * (1 - linked[k] / length[k]) for k, x in points.items() if length[k]}
     if not score:  # no paragraph below anything: what there is of the page
-        kept, best = [k for k in range(n) if parent[k] == 0], 0.0
-        kept = [0]
+        kept, best = [0], 0.0
     else:
         top = min(score, key=lambda k: (-score[k], k))
         best, kept = score[top], []
@@ -160,19 +194,21 @@ def extract(html: str | None) -> tuple[str | None, str | None, float]:
                 continue
             density = linked[k] / length[k] if length[k] else 0.0
             bonus = best * 0.2 if page.marks[k] and page.marks[k] == page.marks[top] else 0.0
-            prose = tag[k] == "p" and (length[k] > 80 and density < 0.25 or 0 < length[k] <= 80 and density == 0 and _sentence(runs, k, page.last[k]))
+            prose = tag[k] == "p" and (length[k] > 80 and density < 0.25 or 0 < length[k] <= 80 and density == 0 and ends[k])
             if k == top or k in score and score[k] + bonus >= max(10.0, best * 0.2) or prose:
                 kept.append(k)
     return page.title or None, _text(page, runs, kept), best
 
 
-def _sentence(runs: list[tuple[int, str]], k: int, last: int) -> bool:
-    return re.search(r"[.!?](?:\s|$)", "".join(t for e, t in runs if k <= e <= last)) is not None
-
-
-def _text(page: Page, runs: list[tuple[int, str]], kept: list[int]) -> str:
+def _text(page: Page, runs: list[tuple[int, str | None]], kept: list[int]) -> str:
     """The text of the kept elements, a line for each block."""
-    spans, i = sorted((k, page.last[k]) for k in kept), 0
+    inside, depth = [0] * (len(page.tag) + 1), 0
+    for k in kept:
+        inside[k] += 1
+        inside[page.last[k] + 1] -= 1
+    for k in range(len(page.tag)):
+        depth += inside[k]
+        inside[k] = depth
     lines, line, block = [], [], None
     home: dict[int, int] = {}
 
@@ -187,15 +223,15 @@ def _text(page: Page, runs: list[tuple[int, str]], kept: list[int]) -> str:
         return k
 
     for k, text in runs:
-        # runs of an element go on after its children, so places don't only grow
-        if not any(a <= k <= b for a, b in spans):
+        if not inside[k]:
             continue
         own = block_of(k)
-        if own != block and line:
+        if (own != block or text is None) and line:
             lines.append(" ".join("".join(line).split()))
             line = []
         block = own
-        line.append(text)
+        if text is not None:
+            line.append(text)
     lines.append(" ".join("".join(line).split()))
     return "\n".join(x for x in lines if x)
 
