@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,9 +77,16 @@ def _decide(trie):
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the 128-bit digests of all beginnings of a URL's way, one chained to the other."""
     for batch in batches:
-        ways = [["/".join(f"{a}{b}" for a, b in way[: n + 1]) for n in range(len(way))] for way in (keys(u) or [] for u in batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, pa.list_(pa.string()))], names=[*batch.schema.names, "ways"])
+        ways = []
+        for url in batch.column(1).to_pylist():
+            h, way = blake2b(digest_size=16), []
+            for a, b in keys(url) or ():
+                h.update(f"/{a}{b}".encode("utf-8", "surrogatepass"))
+                way.append(h.digest())
+            ways.append(way)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, pa.list_(pa.binary()))], names=[*batch.schema.names, "ways"])
 
 
 def filter_urls(pages: DataFrame, entries: list[tuple[str, str]] | DataFrame = ENTRIES, id_col: str = "page_id", url_col: str = "url", *, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
@@ -105,13 +113,12 @@ def filter_urls(pages: DataFrame, entries: list[tuple[str, str]] | DataFrame = E
 
 
 def _join(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    ways = entries.select("action", F.col("entry").alias("url")).mapInArrow(_prefixes, "action string, url string, ways array<string>").filter("size(ways) > 0")
+    ways = entries.select("action", F.col("entry").alias("url")).mapInArrow(_prefixes, "action string, url string, ways array<binary>").filter("size(ways) > 0")
     ends = ways.groupBy(F.element_at("ways", -1).alias("way")).agg(F.min(F.struct("action", "url")).alias("best"))
-    urls = rows.select("page_id", "url").mapInArrow(_prefixes, "page_id long, url string, ways array<string>")
-    urls = urls.withColumn("row", F.monotonically_increasing_id())
-    steps = urls.select("url", F.posexplode("ways").alias("n", "way")).distinct().join(ends, "way")
-    found = steps.groupBy("url").agg(F.max_by("best", "n").alias("best"))
-    out = rows.join(found, "url", "left")
+    urls = rows.select("page_id", "url").filter("url IS NOT NULL").mapInArrow(_prefixes, "page_id long, url string, ways array<binary>")
+    steps = urls.select("url", "ways").distinct().select(F.xxhash64("url").alias("u"), F.sha2("url", 256).alias("v"), F.posexplode("ways").alias("n", "way")).join(ends, "way")
+    found = steps.groupBy("u", "v").agg(F.max_by("best", "n").alias("best"))
+    out = rows.join(found, (F.xxhash64("url") == F.col("u")) & (F.sha2("url", 256) == F.col("v")), "left")
     return out.select("page_id", "url", (F.coalesce(F.col("best.action"), F.lit("allow")) == "allow").alias("allowed"), F.col("best.url").alias("entry"))
 
 
