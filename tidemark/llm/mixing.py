@@ -84,7 +84,7 @@ def select_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Tokens are runs of anything but blanks and line ends. Rows that share source and id are one document of all
     their tokens. Null sources are one source; null ids of a source are one document; null and empty texts have no
-    tokens and go with the document before them. Given weights leave out sources that they don't name. An empty
+    tokens and go with the document before them; a source without any token has no weight and is left out. Given weights leave out sources that they don't name. An empty
     table gives an empty result. Other columns are never looked at.
     """
     spark = docs.sparkSession
