@@ -43,17 +43,21 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
 def approximate_join(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket_length: float = 0.5, tables: int = 6) -> DataFrame:
     """Candidates by locality-sensitive hashing, ranked by cosine: not exact, for large tables.
 
-    Vectors are normalised, so Euclidean distance ranks like cosine. Ids without a common bucket don't appear.
+    Vectors are normalised, so Euclidean distance ranks like cosine. Ids without a common bucket don't appear, nor do
+    vectors of another dimension than the queries'.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    size = queries.select(F.size("query")).first()
+    d = size[0] if size else 1
+
     def unit(c: str):
-        v = F.coalesce(F.col(c).cast("array<double>"), F.array(F.lit(0.0)))  # the function may see rows before filters do
+        v = F.when(F.size(c) == d, F.col(c).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), d))  # it may see rows before filters do
         n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
         return array_to_vector(F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0)))
 
-    a = vectors.filter("exists(vector, x -> x <> 0)").select("id", "parent_id", unit("vector").alias("features"))
+    a = vectors.filter(f"size(vector) = {d} AND exists(vector, x -> x <> 0)").select("id", "parent_id", unit("vector").alias("features"))
     b = queries.filter("exists(query, x -> x <> 0)").select("query_id", unit("query").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=1).fit(a)
     pairs = model.approxSimilarityJoin(a, b, 1.42, distCol="d").select("datasetA.id", "datasetA.parent_id", "datasetB.query_id", (1 - F.col("d") * F.col("d") / 2).alias("score"))

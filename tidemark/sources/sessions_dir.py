@@ -12,13 +12,13 @@ def _session() -> Column:
 
 def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Raw lines with their session and place; blank ones are passed over."""
-    rows = spark.read.option("lineSep", "\n").text(f"{path}/*/{name}").select(F.url_decode(_session()).alias("session_id"), F.monotonically_increasing_id().alias("line_no"), F.trim("value").alias("line"))
+    rows = spark.read.text(f"{path}/*/{name}", lineSep="\n").select(F.url_decode(_session()).alias("session_id"), F.monotonically_increasing_id().alias("line_no"), F.trim("value").alias("line"))
     return rows.filter("line <> ''")
 
 
 def _time(line: Column) -> Column:
     """metadata.timestamp, else ts, else timestamp."""
-    return F.try_to_timestamp(F.coalesce(*(F.get_json_object(line, p) for p in ("$.metadata.timestamp", "$.ts", "$.timestamp"))))
+    return F.coalesce(*(F.get_json_object(line, p) for p in ("$.metadata.timestamp", "$.ts", "$.timestamp"))).try_cast("timestamp")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +34,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Whole metadata files; what no column holds stays in metadata. The project is "unknown" if not given."""
     at = lambda p: F.get_json_object("value", p)
-    rows = spark.read.option("wholetext", "true").text(f"{path}/*/metadata.json")
+    rows = spark.read.text(f"{path}/*/metadata.json", wholetext=True)
     return rows.select(
         F.url_decode(_session()).alias("session_id"), at("$.user_id").alias("user_id"), at("$.host_id").alias("host_id"), F.coalesce(at("$.project_slug"), F.lit("unknown")).alias("project_slug"), at("$.bundle").alias("bundle"),
-        F.try_to_timestamp(at("$.created")).alias("created"), F.try_to_timestamp(at("$.updated")).alias("updated"), F.coalesce(at("$.turn_count").cast("int"), F.lit(0)).alias("turn_count"), F.col("value").alias("metadata"),
+        at("$.created").try_cast("timestamp").alias("created"), at("$.updated").try_cast("timestamp").alias("updated"), F.coalesce(at("$.turn_count").cast("int"), F.lit(0)).alias("turn_count"), F.col("value").alias("metadata"),
     )
