@@ -118,7 +118,7 @@ def shuffle_into_shards(rows: DataFrame, *, rows_per_shard: int = ROWS_PER_SHARD
     sc = spark.sparkContext
     schema = T.StructType([*plain.schema.fields, T.StructField("__shard", T.IntegerType()), T.StructField("__key", T.LongType()), T.StructField("__row", T.LongType())])
     dealt = plain.mapInArrow(_deal(sc.broadcast(counts), sc.broadcast(shards), seed), schema)
-    placed = dealt.repartition(max(1, len(shards)), "__shard")
+    placed = dealt.repartitionById(max(1, len(shards)), F.col("__shard"))
     position = F.row_number().over(Window.partitionBy("__shard").orderBy("__key", "__row")) - 1
     out = placed.withColumn("__position", position.cast("long"))
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)), F.col("__shard").cast("long").alias(shard_col), F.col("__position").alias(position_col))
