@@ -185,8 +185,15 @@ def segments(texts: list[str], length: int = LENGTH, most: int = PER_DOCUMENT, s
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample: int = SAMPLE, steps: int = STEPS, seed: int = SEED) -> Network | None:
     """A network from at most `sample` labelled documents; None where none has a label and a text."""
-    rows = docs.select(col(text_col).cast("string").alias("t"), col(lang_col).cast("string").alias("y"), F.xxhash64(F.lit(seed), col(id_col).cast("string")).alias("h"), F.length(col(text_col).cast("string")).alias("n"))
-    rows = rows.filter("y IS NOT NULL AND n > 0").orderBy("h", "n", "y").limit(sample).collect()
+    text = col(text_col).cast("string")
+    rows = docs.select(text.alias("t"), col(lang_col).cast("string").alias("y"), F.xxhash64(F.lit(seed), col(id_col).cast("string")).alias("h"), F.length(text).alias("n")).filter("y IS NOT NULL AND n > 0")
+    order = F.struct("h", "n", "y", F.xxhash64("t").alias("x"))
+    # The sample's last place first, so that no text but the sample's own reaches the driver.
+    last = rows.select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o").alias("o")).select("o.*").first()
+    if last.h is None:
+        return None
+    bound = F.struct(*(F.lit(last[k]).cast(kind).alias(k) for k, kind in (("h", "long"), ("n", "int"), ("y", "string"), ("x", "long"))))
+    rows = rows.select("t", "y", order.alias("o")).filter(F.col("o") <= bound).orderBy("o").limit(sample).collect()
     if not rows:
         return None
     languages = sorted({r.y for r in rows})
