@@ -15,7 +15,6 @@ from ..functions.filters import SearchFilters
 from .mmr import rerank
 from .vectors import vector_search
 
-RESULT = ("session_id", "project_slug", "sequence", "content", "matched_text", "span_start", "span_end", "score", "source")
 _TYPE_OF = {"search_in_user": "user_query", "search_in_assistant": "assistant_response", "search_in_thinking": "assistant_thinking", "search_in_tool": "tool_output"}
 
 
@@ -44,7 +43,7 @@ def transcript_leg(messages: DataFrame, options: TranscriptSearchOptions, limit:
     hit = f.every([f.contains(text.searchable(F.col("content")), options.query, case_insensitive), f.roles(options.search_in_user, options.search_in_assistant)])
     rows = messages.filter(hit).orderBy(F.col("ts").desc_nulls_last(), F.col("session_id").asc(), F.col("sequence").asc()).limit(limit)
     none = F.lit(None).cast("string")
-    return rows.select("session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), none.alias("matched_text"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"), F.lit(1.0).alias("score"), F.lit("full_text").alias("source"))
+    return rows.select("id", "session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), none.alias("matched_text"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"), F.lit(1.0).alias("score"), F.lit("full_text").alias("source"))
 
 
 def chunk_leg(messages: DataFrame, vectors: DataFrame, options: TranscriptSearchOptions, limit: int, case_insensitive: bool = False) -> DataFrame:
@@ -55,7 +54,7 @@ def chunk_leg(messages: DataFrame, vectors: DataFrame, options: TranscriptSearch
     first = Window.partitionBy("parent_id").orderBy("content_type", "chunk_index")
     found = found.withColumn("__r", F.row_number().over(first)).filter("__r = 1")
     rows = found.join(messages, found.parent_id == messages.id).orderBy(F.col("ts").desc_nulls_last(), F.col("id").asc()).limit(limit)
-    return rows.select("session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), F.col("source_text").alias("matched_text"), "span_start", "span_end", F.lit(1.0).alias("score"), F.lit("full_text_chunk").alias("source"))
+    return rows.select("id", "session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), F.col("source_text").alias("matched_text"), "span_start", "span_end", F.lit(1.0).alias("score"), F.lit("full_text_chunk").alias("source"))
 
 
 def merged(legs: Sequence[DataFrame], limit: int) -> DataFrame:
@@ -86,7 +85,7 @@ def semantic(messages: DataFrame, vectors: DataFrame, query_vector: Sequence[flo
     best = vector_search(own, query_vector, limit, options.content_types)
     hits = best.select("parent_id", F.col("source_text").alias("matched_text"), "span_start", "span_end", "score")
     found = hits.join(rows, hits.parent_id == rows.id)
-    found = found.select("session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), "matched_text", "span_start", "span_end", "score", F.lit("semantic").alias("source"))
+    found = found.select("id", "session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), "matched_text", "span_start", "span_end", "score", F.lit("semantic").alias("source"))
     return found.orderBy(F.col("score").desc(), F.col("session_id").asc(), F.col("sequence").asc())
 
 
@@ -101,8 +100,7 @@ def hybrid(messages: DataFrame, vectors: DataFrame, query_vector: Sequence[float
     candidates = merged([full_text(messages, vectors, options, wide, user_id, sessions).drop("position"), semantic(messages, vectors, query_vector, options, wide, user_id, sessions)], 2 * wide)
     first = Window.partitionBy("parent_id").orderBy(F.col("chunk_index").asc(), F.col("content_type").asc())
     one = vectors.filter("vector IS NOT NULL").withColumn("__r", F.row_number().over(first)).filter("__r = 1").select("parent_id", "vector")
-    keys = messages.select(F.col("id").alias("parent_id"), "session_id", "sequence")
-    rows = candidates.join(F.broadcast(candidates.select("session_id", "sequence")).join(keys, ["session_id", "sequence"]).join(one, "parent_id", "left").select("session_id", "sequence", "vector"), ["session_id", "sequence"], "left")
+    rows = candidates.join(one, candidates.id == one.parent_id, "left").drop("parent_id")
     rows = rows.withColumns({"query_id": F.lit(0), "query": F.lit([float(x) for x in query_vector]).cast("array<double>"), "vector": F.col("vector").cast("array<double>")})
     keep = tuple(c for c in candidates.columns if c != "position")
     return rerank(rows, limit, options.mmr_lambda, keep).drop("query_id").orderBy("mmr_rank")
