@@ -32,6 +32,24 @@ def test_equals_brute_force(spark, part_rows):
     assert all(abs(r.score - scores[r.vec_id, r.rank, r.neighbor_id]) < 1e-4 for r in got)
 
 
+@pytest.mark.parametrize("part_rows", [10_000, 40])
+def test_several_vectors_of_one_id(spark, part_rows):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    near = np.array(rows[0][1])
+    rows += [(i, (near + rng.normal(size=6) * 0.01).tolist()) for i, m in ((500, 2), (501, 5), (502, 14)) for _ in range(m)]
+    got = t.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, part_rows=part_rows).collect()
+    u = t.unit(np.array([v for _, v in rows]))
+    ids = np.array([i for i, _ in rows])
+    want = []
+    for r, own in enumerate(ids):
+        others = np.flatnonzero(ids != own)
+        best = sorted(zip(-np.round(u[others] @ u[r], 9), ids[others]))[:5]
+        want += [(int(own), k + 1, int(j)) for k, (_, j) in enumerate(best)]
+    found = [(r.vec_id, r.rank, r.neighbor_id) for r in got]
+    assert sorted(found) == sorted(want)
+
+
 def test_few_and_none(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.neighbor_id) for r in t.top_k(v).orderBy("vec_id").collect()] == [(1, 2), (2, 1)]
@@ -49,3 +67,18 @@ def test_stops_early():
     for k in range(5):
         want = sorted(zip(-np.round(x @ q[k], 9), range(len(x))))[:3]
         assert best[k][1].tolist() == [j for _, j in want]
+
+
+@pytest.mark.parametrize("m", [2, 5, 14])
+def test_own_id_leaves_the_bar_alone(m):
+    """All vectors near the query are met in the first step, m of them under its own id."""
+    rng = np.random.default_rng(3)
+    x = t.unit(np.concatenate([rng.normal(size=(12_000, 4)) * [0.2, 1, 1, 1], [9, 0.1, 0.1, 0.1] + rng.normal(size=(m + 12, 4)) * np.r_[[0.05] * m, [0.5] * 12][:, None]]))
+    ids = np.arange(len(x))
+    ids[-m - 12 : -12] = 20_000
+    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(m)]
+    q = x[ids == 20_000]
+    t.Index(ids, x).search(np.full(m, 20_000), q, best, 10)
+    others = np.flatnonzero(ids != 20_000)
+    for k in range(m):
+        assert best[k][1].tolist() == [int(j) for _, j in sorted(zip(-np.round(x[others] @ q[k], 9), ids[others]))[:10]]

@@ -77,8 +77,11 @@ class Index:
 
     def _merge(self, i: int, qids: np.ndarray, q: np.ndarray, scores: np.ndarray, at: np.ndarray, best: list, kth: np.ndarray, k: int) -> None:
         bar = kth[i]
-        if len(scores) > k + 1:
-            bar = max(bar, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])  # one is the query itself
+        first, last = np.searchsorted(self.ids, qids[i], "left"), np.searchsorted(self.ids, qids[i], "right")
+        own = slice(*np.searchsorted(at, (first, last)))  # at is ascending, and rows of one id lie together
+        scores[own] = -np.inf
+        if len(scores) > k:
+            bar = max(bar, np.partition(scores, len(scores) - k)[len(scores) - k])
         near = at[scores >= bar - SLACK]
         near = near[self.ids[near] != qids[i]]
         if not len(near):
