@@ -73,3 +73,16 @@ def test_awkward(spark, awkward, nothing):
     assert g.identify(nothing).count() == 0
     none = g.identify(awkward, awkward.limit(0)).collect()
     assert len(none) == awkward.count() and all(r.lang is None and r.languages == [] for r in none)
+
+
+def test_rare_languages_are_known(spark):
+    rare = [(10_000 + k, " ".join("жшщ" * n for n in range(1, 9)), "rr") for k in range(4)]
+    docs = spark.createDataFrame(corpus(4000, 2) + rare, "doc_id long, text string, lang string")
+    got = g.identify(docs.filter("doc_id % 20 = 0"), docs, steps=80, sample=60).collect()
+    assert got[0].languages == ["aa", "bb", "cc", "rr"]
+    assert [r.lang for r in got if r.doc_id >= 10_000] == ["rr"]
+
+
+def test_shares():
+    assert g.shares({"a": 1, "b": 1000, "c": 1000, "d": 20}, 100) == {"a": 1, "d": 20, "b": 39, "c": 40}
+    assert g.shares({"a": 5, "b": 5, "c": 5}, 2) == {"a": 1, "b": 1, "c": 1} and g.shares({}, 9) == {}

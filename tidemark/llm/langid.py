@@ -3,7 +3,9 @@
 Texts are read as UTF-8 in segments of ``SEGMENT`` bytes, each with a state of its own. One gated recurrent unit
 reads a segment forwards, another backwards; at every byte the two states give a probability for each language.
 A document's probabilities are the mean over all its bytes. The network is trained by backpropagation through time
-(Adam) on segments of at most ``SAMPLE`` labelled documents, those with the least seeded hash of their id.
+(Adam) on segments of at most ``SAMPLE`` labelled documents. All languages of labelled documents with a text are
+known to it: they share the sample evenly, what rare ones leave over goes to the others, and of each language the
+documents with the least seeded hash of their id are taken. With more languages than ``SAMPLE``, each gets one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col
@@ -183,19 +185,33 @@ def segments(texts: list[str], length: int = LENGTH, most: int = PER_DOCUMENT, s
     return np.array(x, np.int64).reshape(-1, length), np.array(owner, np.int64)
 
 
+def shares(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """How many documents of each language to take: evenly, but for those that have fewer; one at least."""
+    out: dict[str, int] = {}
+    for y, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        out[y] = max(1, min(n, (sample - sum(out.values())) // (len(sizes) - len(out))))
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample: int = SAMPLE, steps: int = STEPS, seed: int = SEED) -> Network | None:
-    """A network from at most `sample` labelled documents; None where none has a label and a text."""
+    """A network from at most `sample` labelled documents, but one of each language at least; None where none has a
+    label and a text."""
     text = col(text_col).cast("string")
     rows = docs.select(text.alias("t"), col(lang_col).cast("string").alias("y"), F.xxhash64(F.lit(seed), col(id_col).cast("string")).alias("h"), F.length(text).alias("n")).filter("y IS NOT NULL AND n > 0")
-    order = F.struct("h", "n", "y", F.xxhash64("t").alias("x"))
-    # The sample's last place first, so that no text but the sample's own reaches the driver.
-    last = rows.select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o").alias("o")).select("o.*").first()
-    if last.h is None:
-        return None
-    bound = F.struct(*(F.lit(last[k]).cast(kind).alias(k) for k, kind in (("h", "long"), ("n", "int"), ("y", "string"), ("x", "long"))))
-    rows = rows.select("t", "y", order.alias("o")).filter(F.col("o") <= bound).orderBy("o").limit(sample).collect()
-    if not rows:
+    share = shares({r[0]: r[1] for r in rows.groupBy("y").count().collect()}, sample) if sample > 0 else {}
+    if not share:
         return None
+    spark = docs.sparkSession
+    each = Window.partitionBy("y").orderBy("o")
+    rows = rows.select("y", F.struct("h", "n", F.xxhash64("t").alias("x")).alias("o"), "t")
+    most = max(share.values())
+    granted = F.broadcast(spark.createDataFrame(list(share.items()), "y string, share long"))
+    # The last place of each language first, so that few texts but the sample's own are moved.
+    placed = rows.select("y", "o").withColumn("r", F.row_number().over(each)).filter(F.col("r") <= most)
+    last = placed.join(granted, "y").filter("r <= share").groupBy("y", "share").agg(F.max("o").alias("last")).collect()
+    bounds = F.broadcast(spark.createDataFrame([(r.y, r.share, r.last.h, r.last.n, r.last.x) for r in last], "y string, share long, h long, n int, x long").select("y", "share", F.struct("h", "n", "x").alias("last")))
+    near = rows.join(bounds, "y").filter("o <= last").withColumn("r", F.row_number().over(each)).filter(F.col("r") <= most)
+    rows = near.filter("r <= share").orderBy("o", "y").select("t", "y").collect()
     languages = sorted({r.y for r in rows})
     network = Network(languages, seed=seed)
     x, owner = segments([r.t for r in rows])
