@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,15 +21,35 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def kind(df: DataFrame, name: str) -> str:
+    """The type of a column, as schemas spell it."""
+    return df.schema[name].dataType.simpleString()
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns c0, c1 and so on, and how to give those columns their names back."""
+    names = df.columns
+    own = [f"c{k}" for k in range(len(names))]
+    return df.toDF(*own), lambda out: out.select(*(F.col(a).alias(b) for a, b in zip(own, names)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; one of our own only where none is set (tests)."""
+    """Use the folder that the cluster names. Only a session whose executors are threads of this process (tests) gets
+    one of its own where none is set; elsewhere that is an error, as executors couldn't read it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

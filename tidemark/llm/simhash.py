@@ -4,19 +4,26 @@ Fingerprints. A document gets a 64-bit SimHash of its distinct words, where long
 128-bit SimHash of its distinct pairs of neighbouring words. Two documents are near copies if the first differ
 in at most ``radius`` bits and the second in at most ``confirm_radius``.
 
-Index. Equal fingerprints are folded into one first, so thousands of exact copies cost one entry. The upper
-nodes are masked bit patterns: ``permutations`` seeded permutations of the 64 bits are each cut into four masks
-of 16 bits, and fingerprints that share a masked pattern form a group. Within a large group, fingerprints are
-sorted by Gray rank, and runs of them become nodes that hold the bits all members share (mask and pattern). A
-search adds up the differences to a node's pattern and skips the whole node once they exceed the radius. A group
-is searched exactly; only pairs that share none of the upper patterns are missed. Disjoint masks make every pair
-of up to 3 differing bits certain, and recall at larger distances is tested against brute force.
-
-Groups are the connected components over all matches, found by alternating large-star and small-star steps.
+Index. Equal fingerprints are folded into one first, so thousands of exact copies cost one entry. The 64 bits are
+cut into more segments than the radius has bits, and read as a ring: from whatever segment one starts, the entries in
+Gray order of the bits so rotated form a tree. A node is a run of entries that share the first segments, and holds
+that masked pattern once for all of them. The tree is joined with itself from the top: two nodes add up the
+differences of their patterns, segment by segment, and both are dropped as wholes once l segments differ in more than
+radius * l / segments bits. A pair within the radius keeps to that bound all the way from at least one of the
+starts (the cycle lemma), so no pair is missed, however the bits that differ are spread.
+
+Distribution. Each start's first segment, in which no difference is allowed, is the key that sends entries to a task;
+where that leaves groups of more than ``GROUP_ROWS``, the second segment without one of its bits is added to the
+key (two patterns one bit apart share such a key), and groups that are still larger are cut into blocks of
+which every two meet in a task of their own. All three ways find the same pairs.
+
+Groups are the connected components over all matches, found by alternating large-star and small-star steps; up to
+``LOCAL_EDGES`` edges are joined on the driver, with the same result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +32,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import M64, checkpoint, col, mix, words
+from .common import M64, checkpoint, col, kind, mix, plain, words
 
-RADIUS, CONFIRM_RADIUS, PERMUTATIONS, SEED = 10, 32, 8, 20240229
+RADIUS, CONFIRM_RADIUS = 12, 32
+GROUP_ROWS, LOCAL_EDGES, BROADCAST_IDS = 1 << 19, 2_000_000, 2_000_000
 LANES = M64(0x0101010101010101)
-LEAF, SMALL = 32, 64
+PAIRS, HELD_ROWS, NEIGHBOURS = 1 << 16, 1 << 17, 8
 
 
 # -- fingerprints ---------------------------------------------------------------------------------------------
@@ -62,6 +71,11 @@ def _pack(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _word_hash(w: str) -> int:
+    """A hash whose low three bits are the word's weight."""
+    return xxhash.xxh3_64_intdigest(w) & ~7 | min(max(len(w) - 2, 1), 7)
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """Three 64-bit words for each text: its words, then 128 bits of its neighbouring pairs.
 
@@ -76,7 +90,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
             for k in range(3):
                 out[i, k] = xxhash.xxh3_64_intdigest(text, seed=k + 1)
             continue
-        hs = np.fromiter((cache.get(w) or cache.setdefault(w, (xxhash.xxh3_64_intdigest(w) & ~7 | min(max(len(w) - 2, 1), 7)) or 1) for w in tokens), np.uint64, len(tokens))
+        hs = np.fromiter((cache.get(w) or cache.setdefault(w, _word_hash(w)) for w in tokens), np.uint64, len(tokens))
         u = np.unique(hs)
         with np.errstate(over="ignore"):
             p = np.unique(hs[:-1] * M64(0x9E3779B97F4A7C15) + hs[1:]) if len(hs) > 1 else hs
@@ -95,13 +109,6 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _slices(batch, 1 << 22):
-            f = fingerprints(part.column(1).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, k]) for k in range(3))], names=["id", "f0", "f1", "f2"])
-
-
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about so many bytes of text, which bounds the memory of a step."""
     size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
@@ -112,19 +119,33 @@ def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _slices(batch, 1 << 22):
+            f = fingerprints(part.column(1).to_pylist()).view(np.int64)
+            columns = [part.column(0), *(pa.array(f[:, k]) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "f0", "f1", "f2"])
+
+
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f0, f1, f2) of every row that has both an id and a text."""
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
-    return rows.mapInArrow(_fingerprint_batches, "id long, f0 long, f1 long, f2 long")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("t"))
+    rows = rows.filter("id IS NOT NULL AND t IS NOT NULL")
+    return rows.mapInArrow(_fingerprint_batches, f"id {kind(rows, 'id')}, f0 long, f1 long, f2 long")
 
 
 # -- the index ------------------------------------------------------------------------------------------------
 
 
-def masks(permutations: int = PERMUTATIONS, seed: int = SEED) -> list[np.ndarray]:
-    """Four disjoint sets of 16 bit positions for each permutation."""
-    rng = np.random.default_rng(seed)
-    return [m for _ in range(permutations) for m in rng.permutation(64).reshape(4, 16)]
+def segments(radius: int) -> list[int]:
+    """The widths of the ring's segments: one more than the radius, and no wider than a byte."""
+    return np.diff(np.linspace(0, 64, max(radius + 1, 8) + 1).astype(int)).tolist()
+
+
+def rotated(f: np.ndarray, start: int, widths: list[int]) -> np.ndarray:
+    """The words with the segment `start` on top."""
+    by = sum(widths[:start])
+    return (f << M64(by)) | (f >> M64(64 - by)) if by else f
 
 
 def gray_rank(f: np.ndarray) -> np.ndarray:
@@ -135,199 +156,338 @@ def gray_rank(f: np.ndarray) -> np.ndarray:
     return f
 
 
-class GrayIndex:
-    """Fingerprints in Gray order below nodes that hold the bits which a run of them shares."""
+def _near(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, confirm: int) -> np.ndarray:
+    """Which of the pairs are near copies."""
+    hit = np.flatnonzero(np.bitwise_count(f[a, 0] ^ f[b, 0]) <= radius)
+    a, b = a[hit], b[hit]
+    further = np.bitwise_count(f[a, 1] ^ f[b, 1]) + np.bitwise_count(f[a, 2] ^ f[b, 2])
+    return hit[further <= confirm]
 
-    def __init__(self, f: np.ndarray):
-        self.order = np.lexsort((f[:, 2], f[:, 1], gray_rank(f[:, 0])))
-        self.f = f[self.order]
-        self.levels = []
-        low = high = self.f[:, 0]
-        size = 1
-        while len(low) > LEAF:
-            cuts = np.arange(0, len(low), LEAF)
-            low, high, size = np.bitwise_and.reduceat(low, cuts), np.bitwise_or.reduceat(high, cuts), size * LEAF
-            self.levels.insert(0, (~(low ^ high), low, size))
 
-    def search(self, q: np.ndarray, radius: int, confirm: int) -> np.ndarray:
-        """Places in the sorted order of all that are within both radii of q."""
-        n = len(self.f)
-        at = None
-        for shared, pattern, size in self.levels:
-            if at is None:
-                at = np.arange(len(shared))
-            at = at[np.bitwise_count((pattern[at] ^ q[0]) & shared[at]) <= radius]
-            child = size // LEAF
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at * child < n]
-        at = np.arange(n) if at is None else at
-        at = at[np.bitwise_count(self.f[at, 0] ^ q[0]) <= radius]
-        return at[np.bitwise_count(self.f[at, 1] ^ q[1]) + np.bitwise_count(self.f[at, 2] ^ q[2]) <= confirm]
-
-    def components(self, radius: int, confirm: int) -> np.ndarray:
-        """For each fingerprint, in the order given, the number of its connected component.
-
-        A found member leaves the index at once, as its component is known. So a group of thousands of near
-        copies costs about one pass, not a pass for each pair.
-        """
-        label = np.full(len(self.f), -1)
-        live, index, count = np.arange(len(self.f)), self, 0
-        for start in range(len(self.f)):
-            if label[start] >= 0:
-                continue
-            label[start], stack = count, [start]
-            while stack:
-                hits = live[index.order[index.search(self.f[stack.pop()], radius, confirm)]] if index is not self else index.search(self.f[stack.pop()], radius, confirm)
-                new = hits[label[hits] < 0]
-                label[new] = count
-                stack.extend(new.tolist())
-                if len(new) > LEAF:
-                    rest = np.flatnonzero(label < 0)
-                    if 2 * len(rest) <= len(live):
-                        live, index = rest, GrayIndex(self.f[rest])
-            count += 1
-        out = np.empty_like(label)
-        out[self.order] = label
-        return out
-
-
-def _small_groups(f: np.ndarray, group: np.ndarray, radius: int, confirm: int) -> np.ndarray:
-    """Component numbers where groups are runs of at most SMALL rows: all pairs, for all groups at once."""
-    label, a, b = np.arange(len(f)), [], []
-    at = np.arange(len(f) - 1)
-    for step in range(1, SMALL):
-        at = at[at + step < len(f)]
-        at = at[group[at] == group[at + step]]
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(f[at, 0] ^ f[at + step, 0]) <= radius]
-        hit = hit[np.bitwise_count(f[hit, 1] ^ f[hit + step, 1]) + np.bitwise_count(f[hit, 2] ^ f[hit + step, 2]) <= confirm]
-        a.append(hit)
-        b.append(hit + step)
-    a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (each the least place of its component) once all pairs of a and b are connected."""
     while len(a):
-        low = np.minimum(label[a], label[b])
-        if np.array_equal(low, label[a]) and np.array_equal(low, label[b]):
+        x, y = label[a], label[b]
+        some = x != y
+        a, b, x, y = a[some], b[some], x[some], y[some]
+        if not len(a):
             break
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, following := up[up]):
+            up = following
+        label = up[label]
     return label
 
 
-def _edges(ids: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, confirm: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least id of the component, other id) within each group; group is sorted."""
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(group)])))
-    small = np.repeat(sizes <= SMALL, sizes)
-    label = np.zeros(len(ids), np.int64)
-    label[small] = np.flatnonzero(small)[_small_groups(f[small], group[small], radius, confirm)]
-    for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        label[s : s + n] = s + GrayIndex(f[s : s + n]).components(radius, confirm)
-    order = np.lexsort((ids, label))
-    root = ids[order][np.searchsorted(label[order], label)]
-    other = ids != root
-    return root[other], ids[other]
+def _cross(first_a, n_a, first_b, n_b) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For all places in pairs of ranges, about PAIRS at a time: the pairs and the places in the first ranges, how
+    often each of these comes, and the places in the second ranges."""
+    row = np.repeat(np.arange(len(n_a), dtype=np.int32), n_a)
+    if not len(row):
+        return
+    x = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(n_a) - n_a - first_a).astype(np.int32), n_a)
+    n, first = n_b[row], first_b[row].astype(np.int32)
+    ends = np.cumsum(n)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)), len(row)))
+    low = done = 0
+    for high in cuts.tolist():
+        if high == low:
+            continue
+        part = slice(low, high)
+        back = first[part] - (ends[part] - n[part] - done).astype(np.int32)
+        y = np.arange(ends[high - 1] - done, dtype=np.int32)
+        y += np.repeat(back, n[part])
+        yield row[part], x[part], n[part], y
+        low, done = high, int(ends[high - 1])
+
+
+class GrayTree:
+    """Groups of entries in Gray order from one start, below nodes that hold the patterns which runs of them share.
 
+    f and group must be sorted by group, then by the Gray rank of the rotated first word.
+    """
+
+    def __init__(self, f: np.ndarray, group: np.ndarray, start: int, radius: int, confirm: int):
+        self.f, self.word, self.radius, self.confirm = f, np.ascontiguousarray(f[:, 0]), radius, confirm
+        widths = segments(radius)
+        code, n = rotated(f[:, 0], start, widths), len(f)
+        self.bound = [radius * level // len(widths) for level in range(len(widths) + 1)]
+        changes = group[1:] != group[:-1]
+        self.first, self.pattern, used = [np.concatenate(([0], np.flatnonzero(changes) + 1))], [None], 0
+        for w in widths[start:] + widths[:start]:
+            if 2 * len(self.first[-1]) > n:
+                break
+            used += w
+            prefix = code >> M64(64 - used)
+            self.first.append(np.concatenate(([0], np.flatnonzero(changes | (prefix[1:] != prefix[:-1])) + 1)))
+            self.pattern.append((prefix[self.first[-1]] & M64((1 << w) - 1)).astype(np.uint8))
+        self.places = [np.append(x, n) for x in self.first]
+        self.children = [np.searchsorted(b, a) for a, b in itertools.pairwise(self.places)]
+        self.same_group = ~changes
+        self.scanned = 0  # pairs of entries that were compared
+
+    def _pure(self, label: np.ndarray) -> list[np.ndarray]:
+        """For each node the label that all its entries have, or else -1 less its number, which no other node has."""
+        out = []
+        for x in self.first:
+            low, high = np.minimum.reduceat(label, x), np.maximum.reduceat(label, x)
+            out.append(np.where(low == high, low, -1 - np.arange(len(x))))
+        return out
+
+    def components(self) -> np.ndarray:
+        """The label of each entry: the least place of its component within its group.
 
-def _match(radius: int, confirm: int):
+        Neighbours in Gray order are joined first. Two nodes all of whose entries are known to be connected are
+        dropped, so a group of thousands of near copies doesn't cost all its pairs.
+        """
+        n = len(self.f)
+        label, same = np.arange(n), np.ones(n, bool)
+        for step in range(1, min(NEIGHBOURS, n - 1) + 1):
+            same = same[:-1] & self.same_group[step - 1 :]
+            a = np.flatnonzero(same)
+            self.scanned += len(a)
+            a = a[_near(self.f, a, a + step, self.radius, self.confirm)]
+            label = merge(label, a, a + step)
+        pure, stale, last = self._pure(label), False, len(self.first) - 1
+        roots = np.arange(len(self.first[0]))
+        todo = [(0, roots, roots, np.zeros(len(roots), np.uint8))]
+        while todo:
+            level, a, b, spent = todo.pop()
+            if stale:
+                pure, stale = self._pure(label), False
+            open_ = ~((pure[level][a] == pure[level][b]) & (pure[level][a] >= 0))
+            a, b, spent = a[open_], b[open_], spent[open_]
+            kids = self.places[level] if level == last else self.children[level]
+            for row, x, n, y in _cross(kids[a], kids[a + 1] - kids[a], kids[b], kids[b + 1] - kids[b]):
+                if level == last:
+                    self.scanned += len(y)
+                    apart = np.bitwise_count(np.repeat(self.word[x], n) ^ self.word[y])
+                    near = np.flatnonzero(apart <= self.radius)
+                    x, y = np.repeat(x, n)[near], y[near]
+                    new = (x < y) & (label[x] != label[y])
+                    x, y = x[new], y[new]
+                    hit = _near(self.f, x, y, self.radius, self.confirm)
+                    if len(hit):
+                        label, stale = merge(label, x[hit], y[hit]), True
+                    continue
+                pattern = self.pattern[level + 1]
+                now = np.bitwise_count(np.repeat(pattern[x], n) ^ pattern[y])
+                now += np.repeat(spent[row], n)
+                kept = np.flatnonzero(now <= self.bound[level + 1])
+                x, y, now = np.repeat(x, n)[kept], y[kept], now[kept]
+                once = x <= y
+                if once.any():
+                    todo.append((level + 1, x[once], y[once], now[once]))
+        return label
+
+
+def _edges(ids: np.ndarray, f: np.ndarray, group: np.ndarray, start: np.ndarray, radius: int, confirm: int):
+    """(least id of the component, other id) within each group, a group having one start."""
+    root, other, widths = [], [], segments(radius)
+    for s in np.unique(start):
+        at = np.flatnonzero(start == s)
+        order = np.lexsort((f[at, 2], f[at, 1], gray_rank(rotated(f[at, 0], int(s), widths)), group[at]))
+        at = at[order]
+        label = GrayTree(f[at], group[at], int(s), radius, confirm).components()
+        own = ids[at]
+        rank = own if own.dtype.kind in "iu" else np.unique(own, return_inverse=True)[1]
+        order = np.lexsort((rank, label))
+        least = own[order][np.searchsorted(label[order], label)]
+        root.append(least[least != own])
+        other.append(own[least != own])
+    return np.concatenate(root), np.concatenate(other)
+
+
+def _match(radius: int, confirm: int, arrow_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
 
-        def flush(x: np.ndarray) -> pa.RecordBatch:
-            a, b = _edges(x[:, 1], np.ascontiguousarray(x[:, 2:]).view(np.uint64), x[:, 0], radius, confirm)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+        def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            key = np.column_stack([t.column(k).to_numpy() for k in (0, 1)])
+            group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(axis=1))))
+            f = np.column_stack([t.column(k).to_numpy() for k in (3, 4, 5)]).view(np.uint64)
+            a, b = _edges(t.column(2).to_numpy(), f, group, key[:, 0] >> 40, radius, confirm)
+            return pa.RecordBatch.from_arrays([pa.array(a, arrow_type), pa.array(b, arrow_type)], names=["u", "v"])
 
+        count = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
-            last = int(np.searchsorted(x[:, 0], x[-1, 0]))  # the last group may go on in the next batch
-            if last:
-                yield flush(np.concatenate([*held, x[:last]]))
-                held = []
-            held.append(x[last:])
+            g, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.flatnonzero((g != g[-1]) | (b != b[-1]))[-1]) + 1 if g[0] != g[-1] or b[0] != b[-1] else 0
+            if held and last and count + last >= HELD_ROWS:  # the last group may go on in the next batch
+                yield flush([*held, batch.slice(0, last)])
+                held, count, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            count += batch.num_rows
         if held:
-            yield flush(np.concatenate(held))
+            yield flush(held)
 
     return run
 
 
-def _keyed(patterns: list[np.ndarray]):
-    """Each entry once for each mask, under the number of its masked pattern."""
+def _keys(f: np.ndarray, radius: int, deep: bool) -> Iterator[np.ndarray]:
+    """The keys of each entry, an array for each start (and, if deep, each bit of its second segment)."""
+    widths = segments(radius)
+    for s in range(len(widths)):
+        code = rotated(f, s, widths)
+        own, following = widths[s], widths[(s + 1) % len(widths)]
+        key = (M64(s) << M64(40)) | ((code >> M64(64 - own)) << M64(24))
+        if not deep:
+            yield key.view(np.int64)
+            continue
+        second = (code >> M64(64 - own - following)) & M64((1 << following) - 1)
+        for k in range(following):
+            yield (key | M64(k + 1) << M64(16) | second & M64(~(1 << k) & 0xFFFF)).view(np.int64)
 
+
+def _sizes(radius: int, deep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = batch.column(1).to_numpy().view(np.uint64)
-            for k, bits in enumerate(patterns):
-                value = np.zeros(len(f), np.uint64)
-                for j, bit in enumerate(bits.tolist()):
-                    value |= ((f >> M64(bit)) & M64(1)) << M64(j)
-                yield pa.RecordBatch.from_arrays([pa.array((value + M64(k * 65536)).astype(np.int32)), *batch.columns], names=["g", "id", "f0", "f1", "f2"])
+            for key in _keys(batch.column(0).to_numpy().view(np.uint64), radius, deep):
+                g, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
 
     return run
 
 
-def match_edges(entries: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM_RADIUS, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
-    """(u, v) edges that span the components of each group; entries have distinct fingerprints."""
-    rows = entries.select("id", "f0", "f1", "f2").mapInArrow(_keyed(masks(permutations, seed)), "g int, id long, f0 long, f1 long, f2 long")
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_match(radius, confirm), "u long, v long")
+def _keyed(radius: int, deep: bool, blocks: dict[int, int]):
+    """Each entry once for each of its keys and, in a group that is cut into blocks, each two blocks it is in."""
+    hot = np.array(sorted(blocks), np.int64)
+    cut = np.array([blocks[g] for g in hot.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = batch.column(1).to_numpy().view(np.uint64)
+            for key in _keys(f, radius, deep):
+                n = np.ones(len(f), np.int64)
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                    n = np.where(hot[place] == key, cut[place], 1)
+                at = np.repeat(np.arange(len(f)), n)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                own = (mix(f) % n.astype(np.uint64)).astype(np.int64)[at]
+                block = np.minimum(own, other) * n[at] + np.maximum(own, other)
+                columns = [pa.array(key[at]), pa.array(block), *(c.take(pa.array(at)) for c in batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["g", "b", "id", "f0", "f1", "f2"])
+
+    return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): the least id that can be reached, by alternating large-star and small-star steps."""
-    edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+def match_edges(
+    entries: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM_RADIUS, *, rows: int | None = None, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """(u, v) edges that span the components of each group; entries have distinct fingerprints, about `rows` of them."""
+    spark = entries.sparkSession
+    id_type = kind(entries, "id")
+    rows = entries.count() if rows is None else rows
+    deep = rows >> segments(radius)[0] > group_rows
+    blocks: dict[int, int] = {}
+    if rows > group_rows:  # else no group can be larger
+        sizes = entries.select("f0").mapInArrow(_sizes(radius, deep), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+        blocks = {r.g: -(-2 * r.n // group_rows) for r in sizes.filter(F.col("n") > group_rows).collect()}
+    schema = f"g long, b long, id {id_type}, f0 long, f1 long, f2 long"
+    keyed = entries.select("id", "f0", "f1", "f2").mapInArrow(_keyed(radius, deep, blocks), schema)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    together = keyed.repartition(tasks, "g", "b").sortWithinPartitions("g", "b")
+    return together.mapInArrow(_match(radius, confirm, to_arrow_type(entries.schema["id"].dataType)), f"u {id_type}, v {id_type}")
+
+
+# -- components -----------------------------------------------------------------------------------------------
+
+
+def _local_components(edges: DataFrame) -> DataFrame:
+    t = edges.toArrow()
+    ids, at = np.unique(np.concatenate([t.column(k).to_numpy() for k in (0, 1)]), return_inverse=True)
+    n = len(at) // 2
+    label = merge(np.arange(len(ids)), at[:n], at[n:])
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    columns = [pa.array(ids[other], t.column(0).type), pa.array(ids[label[other]], t.column(0).type)]
+    return edges.sparkSession.createDataFrame(pa.table(columns, names=["id", "root"]), f"id {kind(edges, 'u')}, root {kind(edges, 'u')}")
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, root) of all but the roots: the least id that can be reached, by alternating large-star and small-star
+    steps, whose number grows with the logarithm of the ids."""
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    edges = checkpoint(edges)
+    if edges.count() <= local_edges:
+        return _local_components(edges)
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.select("u", "v", least.alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.select("u", "v", least.alias("m")).filter("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = low.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
         edges = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = checkpoint(edges)
-        now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def near_duplicate_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, confirm: int = CONFIRM_RADIUS, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
-    """(id, root) of every document that has near copies, the kept one (the least id) among them.
+# -- the operator ---------------------------------------------------------------------------------------------
 
-    Rows without an id or text, and documents without near copies, don't appear. Rows that repeat an id are one
-    document: it appears once. Texts without words match only exact copies of themselves. An empty table gives
-    an empty result. Other columns of docs are never looked at.
-    """
-    table = checkpoint(fingerprint_table(docs, id_col, text_col))
+
+def _members(table: DataFrame, radius: int, confirm: int) -> DataFrame:
     exact = Window.partitionBy("f0", "f1", "f2")
     copies = table.select("id", F.min("id").over(exact).alias("rep"))
     entries = table.groupBy("f0", "f1", "f2").agg(F.min("id").alias("id"))
-    found = match_edges(entries, radius, confirm, permutations, seed)
+    found = match_edges(entries, radius, confirm, rows=table.count())
     stars = copies.filter("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    near = components(found.unionByName(stars))
-    roots = near.select(F.col("root").alias("id"), "root").distinct()
-    return near.unionByName(roots)
+    return components(found.unionByName(stars))
+
+
+def near_duplicate_members(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, confirm: int = CONFIRM_RADIUS
+) -> DataFrame:
+    """(id, root) of every document that has near copies, the kept one (the least id) among them.
+
+    Ids may be of any type that has an order and keep it. Rows without an id or text, and documents without near
+    copies, don't appear. Rows that repeat an id are one document: it appears once. Texts without words match only
+    exact copies of themselves; long texts are read whole. An empty table gives an empty result. Other columns of docs
+    are never looked at, whatever their names.
+    """
+    near = _members(checkpoint(fingerprint_table(docs, id_col, text_col)), radius, confirm)
+    return near.unionByName(near.select(F.col("root").alias("id"), "root").distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(kept_id, n_docs, doc_ids): a row for each group of two or more; see near_duplicate_members."""
     members = near_duplicate_members(docs, id_col, text_col, **how)
-    return members.groupBy(F.col("root").alias("kept_id")).agg(F.count("*").cast("long").alias("n_docs"), F.sort_array(F.collect_list("id")).alias("doc_ids"))
+    groups = members.groupBy(F.col("root").alias("kept_id"))
+    return groups.agg(F.count("*").cast("long").alias("n_docs"), F.sort_array(F.collect_list("id")).alias("doc_ids"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, confirm: int = CONFIRM_RADIUS, broadcast_ids: int = BROADCAST_IDS
+) -> DataFrame:
     """The rows of docs without all but one document of each group: the one with the least id stays.
 
     Columns and their order stay, whatever their names. Rows that repeat both id and text are left once. Rows
-    without an id or without a text stay as they are.
+    without an id or without a text stay as they are. Texts are moved only for ids that repeat, and for all rows
+    where more than broadcast_ids ids go. An empty table stays empty.
     """
-    gone = near_duplicate_members(docs, id_col, text_col, **how).filter("id <> root").select(F.col("id").alias("__gone"))
-    kept = docs.join(gone, col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    once = Window.partitionBy(col(id_col)).orderBy(F.xxhash64(col(text_col)))
-    before = F.lag(F.xxhash64(col(text_col))).over(once)
-    again = col(id_col).isNotNull() & col(text_col).isNotNull() & before.isNotNull() & (before == F.xxhash64(col(text_col)))
-    return kept.withColumn("__again", again).filter("NOT __again").drop("__again")
+    rows, back = plain(docs)
+    k, t = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    table = checkpoint(fingerprint_table(docs, id_col, text_col))
+    gone = _members(table, radius, confirm).select(F.col("id").alias("gone"))
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    rows = rows.join(gone, k == F.col("gone"), "left_anti")
+    again = checkpoint(table.groupBy("id").count().filter("count > 1").select(F.col("id").alias("again")))
+    n = again.count()
+    if not n:
+        return back(rows)
+    if n <= broadcast_ids:
+        again = F.broadcast(again)
+    text = t.cast("string")
+    repeated = rows.join(again, k == F.col("again"), "left_semi")
+    once = Window.partitionBy(k, F.xxhash64(text), F.sha2(text, 256)).orderBy(F.lit(0))
+    first = repeated.withColumn("r", F.row_number().over(once)).filter((F.col("r") == 1) | t.isNull()).drop("r")
+    return back(rows.join(again, k == F.col("again"), "left_anti").unionByName(first))
