@@ -3,6 +3,8 @@ import pytest
 
 from tidemark.llm import topk as t
 
+from ..conftest import SF
+
 
 def brute(rows, k):
     out = set()
@@ -14,7 +16,7 @@ def brute(rows, k):
                 a, b = np.linalg.norm(v), np.linalg.norm(w)
                 score = float(np.dot(v, w) / (a * b)) if a and b else 0.0
                 hits.append((-round(score, 9), j, score))
-        out |= {(i, r + 1, j, f"{s + 0.0:.4f}") for r, (_, j, s) in enumerate(sorted(hits)[:k])}
+        out |= {(i, r + 1, j, f"{s + 0.0:.7f}") for r, (_, j, s) in enumerate(sorted(hits)[:k])}
     return out
 
 
@@ -29,7 +31,7 @@ def test_equals_brute_force(spark, part_rows):
     want = brute(rows, 5)
     assert {(r.vec_id, r.rank, r.neighbor_id) for r in got} == {x[:3] for x in want} and len(got) == len(want)
     scores = {x[:3]: float(x[3]) for x in want}
-    assert all(abs(r.score - scores[r.vec_id, r.rank, r.neighbor_id]) < 1e-4 for r in got)
+    assert all(abs(r.score - scores[r.vec_id, r.rank, r.neighbor_id]) < 1e-5 for r in got)
 
 
 @pytest.mark.parametrize("part_rows", [10_000, 40])
@@ -56,29 +58,52 @@ def test_few_and_none(spark):
     assert t.top_k(v.limit(0)).count() == 0
 
 
-def test_stops_early():
+def exact(x, q, k, ids=None, own=None):
+    ids = np.arange(len(x)) if ids is None else ids
+    others = np.flatnonzero(ids != own) if own is not None else np.arange(len(x))
+    return [int(j) for _, j in sorted(zip(-np.round(x[others] @ q, 9), ids[others]))[:k]]
+
+
+@pytest.mark.parametrize("d, share, most", [(1000, 0.004, 0.05), (64, 0.03, 0.3)])
+def test_each_query_stops_by_itself(d, share, most):
+    """Sparse codes, of which each uses few dimensions: queries of a production batch read little."""
     rng = np.random.default_rng(1)
-    x = t.unit(np.abs(rng.pareto(0.6, (20_000, 4))))
-    index = t.Index(np.arange(len(x)), x)
-    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(5)]
-    q = t.unit(np.eye(4)[[0, 1, 2, 3, 0]] + 0.01)
-    scored = index.search(np.arange(-5, 0), q, best, 3)
-    assert scored < 0.7 * 5 * len(x)
-    for k in range(5):
-        want = sorted(zip(-np.round(x @ q[k], 9), range(len(x))))[:3]
-        assert best[k][1].tolist() == [j for _, j in want]
+    x = t.unit(rng.normal(size=(20_000, d)) * (rng.random((20_000, d)) < share))
+    x = x[np.abs(x).sum(axis=1) > 0]
+    q = x[: t.BATCH]
+    best, scored = t.Index(np.arange(len(x)), x).search(np.arange(len(q)), q, t.K)
+    assert scored < most * len(q) * len(x)
+    for k in range(0, len(q), 16):
+        assert best[k][1].tolist() == exact(x, q[k], t.K, own=k)
+    alone = sum(t.Index(np.arange(len(x)), x).search(np.array([k]), q[[k]], t.K)[1] for k in range(4))
+    assert alone == t.Index(np.arange(len(x)), x).search(np.arange(4), q[:4], t.K)[1]  # a batch reads no more
+
+
+def test_without_structure_all_is_scored(spark):
+    """Vectors that point anywhere leave the bound above the k-th score to the end."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    x = t.unit(np.stack(rows["embedding"]).astype(float))
+    best, scored = t.Index(rows["vec_id"].to_numpy(), x).search(rows["vec_id"].to_numpy()[:64], x[:64], t.K)
+    assert scored >= 64 * len(x)
+    assert best[5][1].tolist() == exact(x, x[5], t.K, rows["vec_id"].to_numpy(), rows["vec_id"][5])
 
 
 @pytest.mark.parametrize("m", [2, 5, 14])
 def test_own_id_leaves_the_bar_alone(m):
     """All vectors near the query are met in the first step, m of them under its own id."""
     rng = np.random.default_rng(3)
-    x = t.unit(np.concatenate([rng.normal(size=(12_000, 4)) * [0.2, 1, 1, 1], [9, 0.1, 0.1, 0.1] + rng.normal(size=(m + 12, 4)) * np.r_[[0.05] * m, [0.5] * 12][:, None]]))
+    near = [9, 0.1, 0.1, 0.1] + rng.normal(size=(m + 12, 4)) * np.r_[[0.05] * m, [0.5] * 12][:, None]
+    x = t.unit(np.concatenate([rng.normal(size=(12_000, 4)) * [0.2, 1, 1, 1], near]))
     ids = np.arange(len(x))
     ids[-m - 12 : -12] = 20_000
-    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(m)]
     q = x[ids == 20_000]
-    t.Index(ids, x).search(np.full(m, 20_000), q, best, 10)
-    others = np.flatnonzero(ids != 20_000)
+    best, _ = t.Index(ids, x).search(np.full(m, 20_000), q, 10)
     for k in range(m):
-        assert best[k][1].tolist() == [int(j) for _, j in sorted(zip(-np.round(x[others] @ q[k], 9), ids[others]))[:10]]
+        assert best[k][1].tolist() == exact(x, q[k], 10, ids, 20_000)
+
+
+def test_ids_keep_their_type_and_names_may_clash(spark):
+    rows = [("b", [1.0, 0.0], 1, 2), ("a", [1.0, 0.0], 1, 2), ("c", [0.0, 1.0], 1, 2)]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<double>, id int, v int")
+    got = [(r.vec_id, r.rank, r.neighbor_id, r.score) for r in t.top_k(v, k=1).orderBy("vec_id").collect()]
+    assert got == [("a", 1, "b", 1.0), ("b", 1, "a", 1.0), ("c", 1, "a", 0.0)]

@@ -1,15 +1,18 @@
 """Exact top-k cosine neighbours of every vector, by the threshold algorithm over sorted lists.
 
-Vectors are scaled to length one. The index keeps a list for each dimension, sorted by value. A query reads all
-lists from the end that helps it (the top where its own value is positive, else the bottom) to the same depth; an
-object met in any list gets its full score. The sum of the query's values times the last values read bounds every
-object not met yet. A query stops once its k-th best score beats that bound, or everything has been met.
-
-Queries go through in batches, and the objects met by a batch are scored together by a matrix product in single
-precision. Those that could be among the k best within its rounding error are then scored in double precision and
-ranked by the score rounded to nine digits, then id, so ties are exact. An index holds ``PART_ROWS`` vectors: with
-more, the queries pass over one index after another with what they have found so far, which stops most of them
-sooner, and the state between passes is checkpointed.
+Vectors are scaled to length one. An index keeps a list for each dimension, sorted by value. A query reads its lists
+from the end that helps it (the top where its own value is positive, else the bottom) to the same depth; an
+object met in any of them gets its full score. The last values read, and the length of one, bound the score of every
+object not met yet. Each query stops by itself once its k-th best score beats that bound. Depths double; a query
+whose bound doesn't fall low enough before it has read ``WIDE`` times as many entries as there are objects takes the
+rest of the index as met, and its scores come from one matrix product with all queries of that kind.
+
+Scores are first computed in single precision. Those that could be among the k best within its rounding error are then
+scored in double precision and ranked by the score rounded to nine digits, then id, so ties are exact.
+
+Queries and vectors meet in one job: vectors are cut into parts of about ``PART_ROWS``, queries into blocks, and a
+task has one part and one block. It builds the part's index, and the k best of a query over all parts are merged.
+No vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint, col
+from .common import checkpoint, col, kind
 
-K, PART_ROWS, BATCH, FIRST_DEPTH, DIGITS, SLACK = 10, 65536, 256, 1 / 256, 9, 4e-6
+K, PART_ROWS, BATCH, DIGITS, SLACK = 10, 65536, 256, 9, 4e-6
+FIRST_DEPTH, WIDE = 4, 0.5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,126 +47,185 @@ class Index:
         self.single = self.x.astype(np.float32)
         self.lists = np.argsort(self.x, axis=0, kind="stable").astype(np.int32).T  # by dimension, ascending
 
-    def _bound(self, q: np.ndarray, depth: int) -> np.ndarray:
-        """What no object that is deeper than depth in all lists of a query can exceed."""
+    def bound(self, q: np.ndarray, depth: int) -> np.ndarray:
+        """What no object that is deeper than depth in all lists of a query can exceed.
+
+        Such an object's values are at most the last ones read, and its length is at most one. The best that both allow
+        is min(t * value of the query, last value) in each dimension, for the t at which the length is one; whatever t,
+        the dual value is a bound.
+        """
         d = np.arange(self.x.shape[1])
         low, high = self.x[self.lists[:, depth - 1], d], self.x[self.lists[:, -depth], d]
-        return np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
-
-    def search(self, qids: np.ndarray, q: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> int:
-        """Better each query's (scores, ids) in best by this index; returns how many scores were computed."""
+        size, last = np.abs(q), np.where(q > 0, high, np.where(q < 0, -low, np.inf))
+        least, most = np.ones((len(q), 1)), np.full((len(q), 1), 1e7)
+        for _ in range(32):
+            t = np.sqrt(least * most)
+            short = (np.minimum(t * size, last) ** 2).sum(axis=1, keepdims=True) < 1
+            least, most = np.where(short, t, least), np.where(short, most, t)
+        y = np.minimum(least * size, last)
+        return ((size * y).sum(axis=1, keepdims=True) + (1 - (y**2).sum(axis=1, keepdims=True)) / (2 * least))[:, 0]
+
+    def heads(self, q: np.ndarray, before: int, depth: int) -> np.ndarray:
+        """The objects that each query meets in its lists behind place `before` up to `depth`; some come again."""
+        n = len(self.ids)
+        top, bottom = self.lists[:, n - depth : n - before], self.lists[:, before:depth]
+        met = np.where((q > 0)[:, :, None], top[None], bottom[None])
+        idle = np.nonzero(q == 0)  # these lists help no one; objects of another one stand in for theirs
+        met[idle] = met[idle[0], np.abs(q).argmax(axis=1)[idle[0]]]
+        return np.sort(met.reshape(len(q), -1), axis=1)
+
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """Each query's (scores, ids), the best first, and how many scores were computed."""
         n, scored = len(self.ids), 0
-        seen = np.zeros(n, bool)
-        kth = np.array([s[k - 1] if len(s) >= k else -np.inf for s, _ in best])
-        live = np.flatnonzero(self._bound(q, 1) >= kth - SLACK)
-        before, depth = 0, max(1, int(n * FIRST_DEPTH))
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        kth = np.full(len(q), -np.inf)
+        own = np.searchsorted(self.ids, qids, "left"), np.searchsorted(self.ids, qids, "right")
+        single = q.astype(np.float32)
+        lists = np.maximum((q != 0).sum(axis=1), 1)
+        live, rest, before, depth = np.arange(len(q)), [], 0, min(FIRST_DEPTH, n)
         while len(live):
-            depth = min(depth, n)
-            up, down = (q[live] > 0).any(axis=0), (q[live] < 0).any(axis=0)
-            met = np.concatenate([self.lists[up, n - depth : n - before].ravel(), self.lists[down, before:depth].ravel()])
-            new = np.zeros(n, bool)
-            new[met] = True
-            new &= ~seen
-            at = np.flatnonzero(new)
-            seen |= new
-            if len(at):
-                scored += len(at) * len(live)
-                scores = q[live].astype(np.float32) @ self.single[at].T
-                for row, i in enumerate(live.tolist()):
-                    self._merge(i, qids, q, scores[row], at, best, kth, k)
-            if depth == n or seen.all():
+            wide = depth * lists[live] > WIDE * n
+            rest.append(live[wide])
+            live = live[~wide]
+            if not len(live):
                 break
-            live = live[self._bound(q[live], depth) >= kth[live] - SLACK]
-            before, depth = depth, depth * 2
-        return scored
-
-    def _merge(self, i: int, qids: np.ndarray, q: np.ndarray, scores: np.ndarray, at: np.ndarray, best: list, kth: np.ndarray, k: int) -> None:
+            for some in _pieces(live, (depth - before) * q.shape[1] ** 2, 1 << 22):
+                met = self.heads(q[some], before, depth)
+                scores = np.einsum("bmd,bd->bm", self.single[met], single[some])
+                again = np.zeros(met.shape, bool)
+                again[:, 1:] = met[:, 1:] == met[:, :-1]
+                scores[again] = -np.inf
+                scored += scores.size - int(again.sum())
+                for i, at, s in zip(some.tolist(), met, scores):
+                    self._merge(i, q, s, at, own, best, kth, k)
+            live = live[self.bound(q[live], depth) >= kth[live] - SLACK]
+            before, depth = depth, 2 * depth
+        at = np.arange(n)
+        live = np.concatenate(rest) if rest else live
+        for some in _pieces(live, n, 1 << 24):
+            scores = single[some] @ self.single.T
+            scored += scores.size
+            for i, s in zip(some.tolist(), scores):
+                self._merge(i, q, s, at, own, best, kth, k)
+        return [(s, self.ids[at]) for s, at in best], scored
+
+    def _merge(self, i: int, q: np.ndarray, scores: np.ndarray, at: np.ndarray, own: tuple, best: list, kth: np.ndarray, k: int) -> None:
+        """Puts the objects `at` (ascending) into the best of query i, but for rows of the query's own id."""
+        scores[slice(*np.searchsorted(at, (own[0][i], own[1][i])))] = -np.inf
         bar = kth[i]
-        first, last = np.searchsorted(self.ids, qids[i], "left"), np.searchsorted(self.ids, qids[i], "right")
-        own = slice(*np.searchsorted(at, (first, last)))  # at is ascending, and rows of one id lie together
-        scores[own] = -np.inf
         if len(scores) > k:
             bar = max(bar, np.partition(scores, len(scores) - k)[len(scores) - k])
-        near = at[scores >= bar - SLACK]
-        near = near[self.ids[near] != qids[i]]
+        near = at[(scores >= bar - SLACK) & (scores > -np.inf)]
+        near = near[~np.isin(near, best[i][1])]
         if not len(near):
             return
-        exact = np.einsum("ij,j->i", self.x[near], q[i])
-        s, ids = np.concatenate((best[i][0], exact)), np.concatenate((best[i][1], self.ids[near]))
-        order = np.lexsort((ids, -np.round(s, DIGITS)))[:k]
-        best[i] = s[order], ids[order]
+        s = np.concatenate((best[i][0], np.einsum("ij,j->i", self.x[near], q[i])))
+        place = np.concatenate((best[i][1], near))
+        order = np.lexsort((place, -np.round(s, DIGITS)))[:k]  # places are in the order of ids
+        best[i] = s[order], place[order]
         if len(order) == k:
             kth[i] = s[order[-1]]  # not the least by rounding, for which SLACK makes up
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, unit vectors) for each dimension in a batch of (id, vector)."""
-    sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-    values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+def _pieces(rows: np.ndarray, each: int, most: int) -> list[np.ndarray]:
+    """The rows in runs of about `most` numbers in all, of which each row has so many."""
+    return np.array_split(rows, min(len(rows), -(-len(rows) * each // most))) if len(rows) else []
+
+
+def _matrices(batch: pa.RecordBatch | pa.Table, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, unit vectors) for each dimension of the vectors in a column."""
+    vectors = batch.column(column)
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    values = vectors.flatten().to_numpy(zero_copy_only=False)
     starts = np.cumsum(sizes) - sizes
     for d in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == d)
         yield rows, unit(values[starts[rows][:, None] + np.arange(d)].astype(np.float64))
 
 
-def _pass(indexes, k: int):
+def _cells(k: int, ids: pa.DataType):
+    """From rows (cell, role, id, q, v), those of the index (role 0) before the queries, to (id, q, s, n)."""
+
+    def answers(index: dict[int, Index], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, x in _matrices(batch, 4):
+            if x.shape[1] not in index:
+                continue
+            own, q = batch.column(2).take(pa.array(rows)), batch.column(3).to_numpy()[rows]
+            qids = own.to_numpy(zero_copy_only=False)
+            for start in range(0, len(rows), BATCH):
+                found, _ = index[x.shape[1]].search(qids[start : start + BATCH], x[start : start + BATCH], k)
+                at = np.repeat(np.arange(len(found)), [len(s) for s, _ in found]) + start
+                columns = [own.take(pa.array(at)), pa.array(q[at]), pa.array(np.concatenate([s for s, _ in found]))]
+                columns.append(pa.array(np.concatenate([n for _, n in found]), ids))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "q", "s", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        index: dict[int, Index] = {}
+        at = None  # the cell whose index is built
         for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(start, BATCH)
-                ids = batch.column(0).to_numpy()
-                best = [(np.array(s, np.float64), np.array(i, np.int64)) for s, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                for rows, x in _matrices(batch):
-                    index = indexes.value.get(x.shape[1])
-                    if index is not None:
-                        own = [best[r] for r in rows]
-                        index.search(ids[rows], x, own, k)
-                        for r, b in zip(rows, own):
-                            best[r] = b
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b[0].tolist() for b in best], pa.list_(pa.float64())), pa.array([b[1].tolist() for b in best], pa.list_(pa.int64()))], names=["id", "v", "s", "n"])
+            cells, roles = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (roles[1:] != roles[:-1])) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+                if low == high:
+                    continue
+                batch, cell = whole.slice(low, high - low), cells[low]
+                if roles[low] == 0:
+                    if held and held[0].column(0)[0].as_py() != cell:
+                        held = []
+                    held.append(batch)
+                    continue
+                if cell != at:
+                    index, at = {}, cell
+                    if held and held[0].column(0)[0].as_py() == cell:
+                        part = pa.Table.from_batches(held)
+                        own = part.column(2).to_numpy()
+                        index = {x.shape[1]: Index(own[rows], x) for rows, x in _matrices(part, 4)}
+                    held = []
+                yield from answers(index, batch)
 
     return run
 
 
-def _index(rows: DataFrame):
-    parts: dict[int, list] = {}
-    for batch in rows.toArrow().combine_chunks().to_batches():
-        for at, x in _matrices(batch):
-            parts.setdefault(x.shape[1], []).append((batch.column(0).to_numpy()[at], x))
-    return rows.sparkSession.sparkContext.broadcast({d: Index(np.concatenate([i for i, _ in p]), np.concatenate([x for _, x in p])) for d, p in parts.items()})
-
-
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = K, part_rows: int = PART_ROWS) -> DataFrame:
     """(vec_id, rank, neighbor_id, score): the k nearest others of every vector by cosine, ranks from 1.
 
-    Scores are compared rounded to nine digits and given rounded to six; ties go to the least id. Rows without an
-    id, and vectors that are null, empty, or hold nulls or anything but finite numbers, are left out. A vector of
-    zeros scores 0 with all others. Only vectors of the same dimension are compared. Rows that repeat an id and
-    vector are one; no vector is its own neighbour, nor is another one of the same id. With k or fewer others, all
-    of them come.
+    Scores are compared rounded to nine digits and given rounded to six; ties go to the least id. Ids may be of any
+    type that has an order and keep it. Rows without an id, and vectors that are null, empty, or hold nulls or anything
+    but finite numbers, are left out. A vector of zeros scores 0 with all others. Only vectors of the same dimension are
+    compared. Rows that repeat an id and vector are one; no vector is its own neighbour, nor is another one of the
+    same id. With k or fewer others, all of them come. An empty table gives an empty result, and other columns are
+    never looked at, whatever their names.
     """
+    spark = vectors.sparkSession
     v = col(vector_col).cast("array<double>")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & fine).distinct()
-    sc = vectors.sparkSession.sparkContext
-    tasks = max(2 * sc.defaultParallelism, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    state = checkpoint(rows.repartition(tasks, "id").select("id", "v", F.array().cast("array<double>").alias("s"), F.array().cast("array<long>").alias("n")))
-    total = state.count()
+    rows = vectors.filter(col(id_col).isNotNull() & fine).select(col(id_col).alias("id"), v.alias("v")).distinct()
+    rows = checkpoint(rows.withColumn("q", F.monotonically_increasing_id()))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = rows.count()
     parts = max(1, -(-total // part_rows))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    source = state.select("id", "v")
-    for p in range(parts):
-        state = state.mapInArrow(_pass(_index(source.filter(part == p)), k), state.schema)
-        if p + 1 < parts:
-            state = checkpoint(state)
-    found = state.select("id", F.posexplode(F.arrays_zip("s", "n")).alias("rank", "x"))
-    return found.select(F.col("id").alias("vec_id"), (F.col("rank") + 1).alias("rank"), F.col("x.n").alias("neighbor_id"), F.round("x.s", 6).alias("score"))
+    blocks = max(parts, min(-(-tasks // parts), -(-total // BATCH)))
+    part, block = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int") for seed, n in ((0, parts), (1, blocks)))
+    index = rows.select(part.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("role"), "id", "q", "v")
+    asked = rows.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), block.alias("b"), F.lit(1).alias("role"), "id", "q", "v")
+    cell = (F.col("p").cast("long") * blocks + F.col("b")).alias("cell")
+    both = index.unionByName(asked).select(cell, "role", "id", "q", "v")
+    spread = min(parts * blocks, max(tasks, 10_000))
+    met = both.repartitionById(spread, F.pmod("cell", F.lit(spread)).cast("int")).sortWithinPartitions("cell", "role")
+    id_type = kind(rows, "id")
+    found = met.mapInArrow(_cells(k, to_arrow_type(rows.schema["id"].dataType)), f"id {id_type}, q long, s double, n {id_type}")
+    order = Window.partitionBy("q").orderBy(F.round("s", DIGITS).desc(), "n")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("id").alias("vec_id"), "rank", F.col("n").alias("neighbor_id"), F.round("s", 6).alias("score"))
 
 
 def oracle(k: int = K) -> str:
     return f"""
 WITH v AS (SELECT DISTINCT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 u AS (SELECT id, x, sqrt(list_inner_product(x, x)) AS n FROM v),
-pairs AS (SELECT a.id AS vec_id, b.id AS neighbor_id, CASE WHEN a.n = 0 OR b.n = 0 THEN 0.0 ELSE list_inner_product(a.x, b.x) / (a.n * b.n) END AS s FROM u a JOIN u b ON a.id <> b.id),
+pairs AS (SELECT a.id AS vec_id, b.id AS neighbor_id,
+  CASE WHEN a.n = 0 OR b.n = 0 THEN 0.0 ELSE list_inner_product(a.x, b.x) / (a.n * b.n) END AS s FROM u a JOIN u b ON a.id <> b.id),
 ranked AS (SELECT vec_id, neighbor_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, neighbor_id) AS r FROM pairs)
 SELECT vec_id, CAST(r AS INTEGER) AS rank, neighbor_id, round(s, 6) AS score FROM ranked WHERE r <= {k}"""
