@@ -17,22 +17,25 @@ def greedy(w, blocks, seats):
     return got
 
 
-def test_apportionment_equals_one_by_one():
+def test_grants_come_in_the_order_of_the_greedy_rule(spark):
     rng = random.Random(0)
-    for _ in range(300):
-        n = rng.randint(1, 8)
-        w = [rng.choice([0, 1, 1, 2, 3.5, rng.random() * 10]) for _ in range(n)]
-        blocks = [rng.randint(0, 30) for _ in range(n)]
-        seats = rng.randint(0, sum(blocks) + 3)
-        assert m.apportion(w, blocks, seats) == greedy(w, blocks, seats)
-    assert m.apportion([], [], 3) == [] and m.apportion([5, 3, 1], [99] * 3, 9) == [5, 3, 1]
+    for n in (1, 3, 7):
+        w = [rng.choice([1, 1, 2, 3.5, rng.random() * 10]) for _ in range(n)]
+        blocks = [rng.randint(1, 30) for _ in range(n)]
+        rows = [(f"1{k}", b, b, float(w[k])) for k in range(n) for b in range(blocks[k])]
+        seats = m._seats(spark.createDataFrame(rows, "z string, block long, r long, w double")).collect()
+        assert sorted(r.seat for r in seats) == list(range(sum(blocks)))
+        for most in (0, 1, 5, sum(blocks) // 2, sum(blocks)):
+            assert [sum(r.z == f"1{k}" and r.seat < most for r in seats) for k in range(n)] == greedy(w, blocks, most)
 
 
-def test_shards_hold_prefixes_of_the_apportionment():
-    w, blocks = [5.0, 3.0, 1.0], [60, 60, 60]
-    rows = m.shard_quotas(w, blocks, 90, 9)
-    for j in range(10):
-        assert [sum(last - first for s, shard, first, last in rows if s == k and shard <= j) for k in range(3)] == greedy(w, blocks, 9 * (j + 1))
+def test_running_sums_in_any_number_of_levels(spark):
+    rng = random.Random(1)
+    rows = [(f"1{k % 3}", f"{rng.randrange(1 << 128):032x}", k, rng.randint(0, 9)) for k in range(500)]
+    want = {k: sum(v for y, g, _, v in rows if y == z and g < h) for z, h, k, _ in rows}
+    for bucket_rows in (10_000, 0.05, 0.00001):
+        got = m._running(spark.createDataFrame(rows, "z string, h string, k long, n long"), 500, "k", "n", bucket_rows)
+        assert {r.k: r.start for r in got.collect()} == want
 
 
 def test_equals_sql(spark, awkward):
@@ -50,6 +53,21 @@ def test_mix_keeps_rows_and_columns(spark, awkward, nothing):
     assert everything.count() == awkward.filter("source IS NOT NULL").count()  # the null source has no token
     assert m.mix(awkward, budget=1.0, weights={"s0": 1.0}).filter("source = 's0'").count() == everything.filter("source = 's0'").count()
     assert m.mix(nothing).count() == 0
+    few = m.mix(awkward, block_tokens=100, broadcast_rows=0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, m.mix(awkward, block_tokens=100).collect()))
+
+
+def test_ids_keep_their_type_and_names_may_clash(spark):
+    rows = [(f"doc-{k}", "a b c d", "s", 1, 2, 3) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, __s int, __k int, z int")
+    out = m.mix(docs)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes) and 14 <= out.count() <= 18
+
+
+def test_small_tables_lose_no_source(spark):
+    rows = [(k, "w " * 300, f"s{k % 20}") for k in range(200)]
+    got = m.select_blocks(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.select("source").distinct().count() == 20
 
 
 def test_weights_are_met(spark):
