@@ -1,4 +1,8 @@
 import random
+import time
+import tracemalloc
+
+import numpy as np
 
 from tidemark.llm import decontaminate as d
 from tidemark.llm.common import words
@@ -38,6 +42,40 @@ def test_tiling_equals_brute_force():
         assert (got[0][1] if got else 0) == want
 
 
+def test_tiles_by_length_equal_brute_force():
+    rng = random.Random(2)
+    for trial in range(200):
+        m = rng.choice([1, 2, 3])
+        item = [rng.choice([1, 2] if trial % 2 else [1, 2, 3, 4]) for _ in range(rng.randint(m, 25))]
+        doc = [rng.choice([0, 1, 2] if trial % 3 else [1, 2]) for _ in range(rng.randint(0, 40))]
+        want = brute_tiles(item, [x or -1 for x in doc], m)
+        assert d.long_tiles(np.array(item), np.array(doc, np.int64), m) == want
+        index = d.Index([(1, " ".join(map(str, item)))], m)
+        share = sum(n for _, _, n in want) / len(item)
+        for limit in (0, d.SEEDS):
+            d.SEEDS, before = limit, d.SEEDS
+            got = index.covered(" ".join(map(str, doc)), 1e-9)
+            d.SEEDS = before
+            assert (got[0][1] if got else 0) == share
+
+
+def test_texts_that_repeat_themselves_take_little_time_and_memory():
+    for item in ("na " * 2000, "la le " * 1000, "a b c a b d " * 300):
+        index = d.Index([(1, item)], 3)
+        tracemalloc.start()
+        began = time.process_time()
+        assert index.covered(item * 10, 0.5) == [(0, 1.0)]
+        assert time.process_time() - began < 3 and tracemalloc.get_traced_memory()[1] < 1e8
+        tracemalloc.stop()
+
+
+def test_ids_keep_their_type_and_names_may_clash(spark):
+    bench = spark.createDataFrame([("q1", "a b c d")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "a b c d", 1, 2), ("y", "e", 1, 2)], "doc_id string, text string, t int, item_id int")
+    got = [(r.doc_id, r.item_id) for r in d.contamination(docs, bench).orderBy("doc_id").collect()]
+    assert got == [("x", "q1"), ("y", None)] and d.drop_contaminated(docs, bench).columns == docs.columns
+
+
 def test_reordered_passages(spark):
     rng = random.Random(1)
     item = [f"w{rng.randrange(60)}" for _ in range(40)]
