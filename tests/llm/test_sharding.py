@@ -1,3 +1,4 @@
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -33,16 +34,46 @@ def test_draws_beyond_the_limit(monkeypatch):
     assert s._draw(rng, 0, 50, 20) == 0 and s._draw(rng, 50, 0, 20) == 20 and s._draw(rng, 5, 5, 10) == 5
 
 
-def test_places_are_uniform(spark):
-    rows = spark.range(12).repartition(3, "id")
-    rows.write.mode("overwrite").parquet("/tmp/tidemark-shards")
-    rows = spark.read.parquet("/tmp/tidemark-shards")
-    places = Counter()
-    for seed in range(60):
-        for r in s.shuffle_into_shards(rows, rows_per_shard=4, seed=seed).collect():
-            places[r.id, r.shard] += 1
-    expected = 60 / 3
-    assert sum((places[i, j] - expected) ** 2 / expected for i in range(12) for j in range(3)) < 60  # 24 degrees of freedom
+def test_matrix_equals_permuting_all_rows():
+    """All matrices with these margins, as often as permutations of all rows give them."""
+    sizes, ranges = [2, 1, 3], [3, 1, 2]
+    owner = np.repeat(np.arange(3), sizes)
+    want = Counter()
+    for order in itertools.permutations(range(6)):
+        to = np.empty(6, int)
+        to[list(order)] = np.repeat(np.arange(3), ranges)
+        want[tuple(np.bincount(owner * 3 + to, minlength=9).tolist())] += 1
+    n, all_ = 6000, sum(want.values())
+    draws = ([s.matrix_row(np.array(sizes), np.array(ranges), i, seed) for i in range(3)] for seed in range(n))
+    got = Counter(tuple(np.concatenate(m).tolist()) for m in draws)
+    assert got.keys() <= want.keys()
+    chi = sum((got[m] - n * c / all_) ** 2 / (n * c / all_) for m, c in want.items())
+    assert chi < len(want) + 4 * (2 * len(want)) ** 0.5
+
+
+def test_places_are_uniform(spark, tmp_path):
+    spark.range(12).repartition(3, "id").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for range_shards in (1, 3):
+        places = Counter()
+        for seed in range(30):
+            for r in s.shuffle_into_shards(rows, rows_per_shard=4, seed=seed, range_shards=range_shards).collect():
+                places[r.id, r.shard] += 1
+        expected = 30 / 3
+        assert sum((places[i, j] - expected) ** 2 / expected for i in range(12) for j in range(3)) < 60  # 24 degrees of freedom
+
+
+def test_ranges_of_several_shards(spark):
+    """More shards than partitions after the exchange: sizes stay exact."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for n in (1, 50, 101):
+            out = s.shuffle_into_shards(spark.range(n), rows_per_shard=4, range_shards=5)
+            sizes = s.shard_sizes(n, 4).tolist()
+            assert sorted((r.shard, r.position) for r in out.collect()) == [(j, p) for j, m in enumerate(sizes) for p in range(m)]
+            assert sorted(r.id for r in out.collect()) == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_awkward(spark, awkward, nothing):

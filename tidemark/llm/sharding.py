@@ -1,10 +1,11 @@
 """A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows are counted for each input partition. The matrix of how many rows partition i sends to shard j has the
-partition sizes as row sums and the shard sizes as column sums, and is distributed as under a uniform permutation
-of all rows. It is never held as a whole: a tree over the partitions splits the shard sizes between left and right
-halves by multivariate hypergeometric draws seeded by the node, so each task walks one path down to its own row.
-A task permutes its rows, deals them out by that row, and after the exchange each shard is permuted again.
+Rows are counted for each input partition, and shards are put together in ranges of up to ``RANGE_SHARDS``, one for each
+partition after the exchange. The matrix of how many rows partition i sends to range j has the partition sizes as
+row sums and the range sizes as column sums, and is distributed as under a uniform permutation of all rows. It is never
+held as a whole: a tree over the partitions splits the range sizes between left and right halves by multivariate
+hypergeometric draws seeded by the node, so each task walks one path down to its own row. A task permutes its rows
+and deals them out by that row; after the exchange the rows of each range are permuted again and cut into its shards.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_SHARD, SEED = 8192, 11
+from .common import plain
+
+ROWS_PER_SHARD, RANGE_SHARDS, SEED = 8192, 16, 11
 EXACT_COLORS = 1_000_000_000  # numpy draws from smaller populations only
 
 
@@ -58,10 +61,10 @@ def split(rng: np.random.Generator, colors: np.ndarray, sample: int) -> np.ndarr
     return out
 
 
-def matrix_row(sizes: np.ndarray, shards: np.ndarray, at: int, seed: int = SEED) -> np.ndarray:
-    """Row `at` of the matrix: how many rows partition `at` sends to each shard."""
+def matrix_row(sizes: np.ndarray, ranges: np.ndarray, at: int, seed: int = SEED) -> np.ndarray:
+    """Row `at` of the matrix: how many rows partition `at` sends to each range."""
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    low, high, left = 0, len(sizes), shards.astype(np.int64)
+    low, high, left = 0, len(sizes), ranges.astype(np.int64)
     while high - low > 1:
         mid = (low + high) // 2
         rng = np.random.default_rng([seed, low, high])
@@ -73,21 +76,25 @@ def matrix_row(sizes: np.ndarray, shards: np.ndarray, at: int, seed: int = SEED)
     return left
 
 
-def _deal(sizes, shards, seed: int):
+def _deal(sizes, ranges, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = TaskContext.get().partitionId()
         n = int(sizes.value[me]) if me < len(sizes.value) else 0
         rng = np.random.default_rng([seed, me, 1])
         label = np.empty(n, np.int32)
         if n:
-            label[rng.permutation(n)] = np.repeat(np.arange(len(shards.value), dtype=np.int32), matrix_row(sizes.value, shards.value, me, seed))
+            row = matrix_row(sizes.value, ranges.value, me, seed)
+            label[rng.permutation(n)] = np.repeat(np.arange(len(row), dtype=np.int32), row)
         at = 0
         for batch in batches:
             m = batch.num_rows
             if at + m > n:
                 raise RuntimeError("a partition grew between the count and the exchange: the input must be read the same way twice")
             order = rng.integers(-(1 << 63), 1 << 63, m, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label[at : at + m]), pa.array(order), pa.array(np.full(m, me, np.int64) << 40 | np.arange(at, at + m))], schema=pa.schema([*batch.schema, pa.field("__shard", pa.int32()), pa.field("__key", pa.int64()), pa.field("__row", pa.int64())]))
+            row = np.full(m, me, np.int64) << 40 | np.arange(at, at + m)
+            columns = [*batch.columns, pa.array(label[at : at + m]), pa.array(order), pa.array(row)]
+            added = [pa.field("r", pa.int32()), pa.field("key", pa.int64()), pa.field("row", pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*batch.schema, *added]))
             at += m
         if at != n:
             raise RuntimeError("a partition shrank between the count and the exchange: the input must be read the same way twice")
@@ -95,7 +102,9 @@ def _deal(sizes, shards, seed: int):
     return run
 
 
-def shuffle_into_shards(rows: DataFrame, *, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED, shard_col: str = "shard", position_col: str = "position") -> DataFrame:
+def shuffle_into_shards(
+    rows: DataFrame, *, rows_per_shard: int = ROWS_PER_SHARD, range_shards: int = RANGE_SHARDS, seed: int = SEED, shard_col: str = "shard", position_col: str = "position"
+) -> DataFrame:
     """All rows with all their columns, and in which shard (from 0) and at which place of it (from 0) each stands.
 
     Every row is dealt, whatever it holds: nulls, repeated rows and long texts make no difference. Shard sizes
@@ -110,15 +119,24 @@ def shuffle_into_shards(rows: DataFrame, *, rows_per_shard: int = ROWS_PER_SHARD
         shard_col = "_" + shard_col
     while position_col.lower() in taken | {shard_col.lower()}:
         position_col = "_" + position_col
-    plain = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
-    parts = plain.rdd.getNumPartitions()
-    found = dict(map(tuple, plain.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*")).collect()))
+    own, back = plain(rows)
+    parts = own.rdd.getNumPartitions()
+    found = dict(map(tuple, own.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*")).collect()))
     counts = np.array([found.get(k, 0) for k in range(parts)], np.int64)
-    shards = shard_sizes(int(counts.sum()), rows_per_shard)
+    total = int(counts.sum())
+    shards = shard_sizes(total, rows_per_shard)
+    ranges = min(len(shards), max(-(-len(shards) // range_shards), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    first = len(shards) * np.arange(ranges + 1) // max(ranges, 1)  # shard of each range
+    starts = np.concatenate(([0], np.cumsum(shards)))[first]
     sc = spark.sparkContext
-    schema = T.StructType([*plain.schema.fields, T.StructField("__shard", T.IntegerType()), T.StructField("__key", T.LongType()), T.StructField("__row", T.LongType())])
-    dealt = plain.mapInArrow(_deal(sc.broadcast(counts), sc.broadcast(shards), seed), schema)
-    placed = dealt.repartitionById(max(1, len(shards)), F.col("__shard"))
-    position = F.row_number().over(Window.partitionBy("__shard").orderBy("__key", "__row")) - 1
-    out = placed.withColumn("__position", position.cast("long"))
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)), F.col("__shard").cast("long").alias(shard_col), F.col("__position").alias(position_col))
+    added = [T.StructField("r", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("row", T.LongType())]
+    deal = _deal(sc.broadcast(counts), sc.broadcast(np.diff(starts)), seed)
+    dealt = own.mapInArrow(deal, T.StructType([*own.schema.fields, *added])).repartitionById(max(1, ranges), F.col("r"))
+    start = F.broadcast(spark.createDataFrame(list(enumerate(starts[:-1].tolist())), "r int, start long"))
+    place = F.row_number().over(Window.partitionBy("r").orderBy("key", "row")) - 1
+    placed = dealt.withColumn("place", place.cast("long")).join(start, "r").withColumn("place", F.col("start") + F.col("place"))
+    n = len(shards)
+    placed = placed.withColumn("shard", F.expr(f"((place + 1) * {n}L - 1) div {max(total, 1)}L"))
+    placed = placed.withColumn("position", F.expr(f"place - ({total}L * shard) div {max(n, 1)}L"))
+    names = [F.col(f"c{k}").alias(c) for k, c in enumerate(rows.columns)]
+    return placed.select(*names, F.col("shard").alias(shard_col), F.col("position").alias(position_col))
