@@ -80,3 +80,32 @@ def test_awkward(spark):
     got = h.extract_pages(pages).collect()
     assert [(r.page_id, r.text) for r in got] == [(1, P), (1, P), (None, None), (2, "")]
     assert h.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_pages_that_are_one_form_or_widget():
+    body = f"<div><p>{P}</p><p>{P} and more</p></div>"
+    for page in (f"<body><form>{body}</form></body>", f"<body><div class=widget>{body}</div></body>", f"<div>Home</div><form><nav>menu</nav>{body}</form>"):
+        _, text, score = h.extract(page)
+        assert text == f"{P}\n{P} and more" and score > 0
+    assert h.extract("<nav>only a menu</nav>") == (None, "only a menu", 0.0)
+    assert h.extract(f"<form>{P}</form><div><p>{P} prose</p></div>")[1] == f"{P} prose"
+
+
+def test_end_tags_below_the_depth_leave_elements_above_it_open():
+    deep = "<div>" * (h.DEPTH + 100) + "x" + "</div>" * (h.DEPTH + 99)
+    page = h.Page(f"<section>{deep}<p>{P}</p></div></section>")
+    assert page.tag[page.parent[page.tag.index("p")]] == "div" and page.parent[page.tag.index("p")] == 2
+    page = h.Page("<div>" * (h.DEPTH + 5) + "</div>" * 5 + "<p>a")
+    assert page.parent[page.tag.index("p")] == h.DEPTH - 1
+
+
+def test_ties_go_to_the_container_that_starts_first():
+    _, text, _ = h.extract(f"<body><div><main><p>{P} one</p></main></div><div><main><p>{P} two</p></main></div></body>")
+    assert text == f"{P} one"
+
+
+def test_long_pages_clashing_names_and_ids_of_any_type(spark):
+    rows = [("a", f"<div><p>{P}</p></div>" + "<ul><li>x</li></ul>" * 50_000, "t", 1.0, "x"), (None, f"<p>{P}", "t", 2.0, "y")]
+    pages = spark.createDataFrame(rows, "page_id string, html string, title string, score double, i string")
+    got = h.extract_pages(pages).collect()
+    assert [r.page_id for r in got] == ["a", None] and all(P in r.text and r.title is None for r in got)

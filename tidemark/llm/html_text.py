@@ -5,8 +5,10 @@ stray end tags ignored). Each paragraph of at least ``LEAST`` characters earns o
 for each hundred characters, three at most. Its parent gets all of them, its grandparent half, the k-th ancestor
 beyond a part 1 / 3k. Containers start from points for their tag and for words in class and id, and their sum is
 multiplied by one less their link density, the share of their text that stands in links. The best container is
-kept, with those siblings that score a fifth of it or are paragraphs of prose. Navigation, forms, advertisements
-and the like are left out wherever they stand.
+kept, with those siblings that score a fifth of it or are paragraphs of prose. Points go up ``LEVELS`` elements that
+are not inline. Navigation, forms, advertisements and the like are left out wherever they stand; a page that has no
+paragraph outside them (one big form, say) is read again with forms and what only class and id speak against, and
+then with everything.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col
+from .common import col, kind
 
 LEAST, LEVELS = 25, 5
 DEPTH = 512  # elements below this depth are put at it, as browsers do
@@ -44,6 +46,7 @@ class Page:
         self.tag, self.parent, self.last, self.marks, self.title = ["#"], [0], [0], [""], ""
         self.runs: list[tuple[int, str | None]] = []  # None is a line's end
         self.open: Counter[str] = Counter()
+        self.beyond: Counter[str] = Counter()  # open elements below DEPTH
         stack, at, n, start = [0], 0, len(html), 0
         while True:
             at = html.find("<", at)
@@ -92,20 +95,29 @@ class Page:
             self.parent.append(stack[-1])
             self.last.append(len(self.tag) - 1)
             self.marks.append(" ".join("".join(x) for x in _ATTRIBUTE.findall(m[3])) if m[3] else "")
-            if name not in _VOID and not (m[3].endswith("/") and name not in _BLOCK) and len(stack) < DEPTH:
-                stack.append(len(self.tag) - 1)
-                self.open[name] += 1
+            if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
+                continue
+            if len(stack) >= DEPTH:
+                self.beyond[name] += 1
+                continue
+            stack.append(len(self.tag) - 1)
+            self.open[name] += 1
         if start < n:
             self.runs.append((stack[-1], html[start:]))
         self._pop(stack, 0)
 
     def _pop(self, stack: list[int], to: int) -> None:
+        if len(stack) > to and self.beyond:
+            self.beyond.clear()
         while len(stack) > to:
             k = stack.pop()
             self.last[k] = len(self.tag) - 1
             self.open[self.tag[k]] -= 1
 
     def _close(self, stack: list[int], name: str) -> None:
+        if self.beyond[name]:
+            self.beyond[name] -= 1
+            return
         if not self.open[name]:
             return
         for k in range(len(stack) - 1, 0, -1):
@@ -134,13 +146,28 @@ def extract(html: str | None) -> tuple[str | None, str | None, float]:
     if html is None:
         return None, None, 0.0
     page = Page(html)
+    tries = []
+    for strict in (2, 1, 0):
+        text, best, scored = _read(page, strict)
+        if scored:
+            return page.title or None, text, best
+        tries.append(text)
+        if strict == 2 and not any(t and t in page.tag for t in _DROPPED) and not any(page.marks):
+            break  # nothing was left out
+    return page.title or None, next((t for t in tries if t), ""), 0.0
+
+
+def _read(page: Page, strict: int) -> tuple[str, float, bool]:
+    """(text, score of the best container, whether there is any), without the elements that strict is against."""
     tag, parent, n = page.tag, page.parent, len(page.tag)
+    dropped = (set(), _DROPPED - {"form"}, _DROPPED)[strict]
     out = [False] * n  # inside something that is left out
     link = [False] * n
     for k in range(1, n):
         up = parent[k]
-        marks = page.marks[k]
-        out[k] = out[up] or tag[k] in _DROPPED or bool(marks and tag[k] not in ("body", "html", "a") and _UNLIKELY.search(marks) and not _LIKELY.search(marks))
+        marks = page.marks[k] if strict == 2 else ""
+        against = marks and tag[k] not in ("body", "html", "a") and _UNLIKELY.search(marks) and not _LIKELY.search(marks)
+        out[k] = out[up] or tag[k] in dropped or bool(against)
         link[k] = link[up] or tag[k] == "a"
     runs = []
     length, commas, linked = [0] * n, [0] * n, [0] * n
@@ -197,7 +224,7 @@ def extract(html: str | None) -> tuple[str | None, str | None, float]:
             prose = tag[k] == "p" and (length[k] > 80 and density < 0.25 or 0 < length[k] <= 80 and density == 0 and ends[k])
             if k == top or k in score and score[k] + bonus >= max(10.0, best * 0.2) or prose:
                 kept.append(k)
-    return page.title or None, _text(page, runs, kept), best
+    return _text(page, runs, kept), best, bool(score)
 
 
 def _text(page: Page, runs: list[tuple[int, str | None]], kept: list[int]) -> str:
@@ -246,7 +273,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """(page_id, title, text, score) for every row of pages, in place: nothing is shuffled.
 
     Null pages have null title and text, pages without a title a null title, and empty pages an empty text. A page
-    without any paragraph long enough gives all its text outside what is left out, with score 0. Ties between
-    containers go to the one that starts first. Repeated rows, and rows without an id, get rows of their own.
+    without any paragraph long enough gives all its text outside what is left out (or, if there is none, all its
+    text), with score 0. Ties between containers go to the one that starts first. Ids keep their type; repeated rows, and
+    rows without an id, get rows of their own. Long pages are read whole, in time that grows with their length. An
+    empty table gives an empty result. Other columns are never looked at, whatever their names.
     """
-    return pages.select(col(id_col).cast("long").alias("i"), col(html_col).cast("string").alias("h")).mapInArrow(_run, "page_id long, title string, text string, score double")
+    rows = pages.select(col(id_col).alias("i"), col(html_col).cast("string").alias("h"))
+    return rows.mapInArrow(_run, f"page_id {kind(pages, id_col)}, title string, text string, score double")
