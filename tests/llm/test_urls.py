@@ -32,3 +32,9 @@ def test_empty(spark):
     assert u.filter_urls(pages).count() == 0
     some = spark.createDataFrame([(None, "http://a.b")], "page_id long, url string")
     assert u.filter_urls(some, []).first().allowed
+
+
+def test_ids_keep_their_type_and_names_may_clash(spark):
+    pages = spark.createDataFrame([("p", "http://example.com", 1, "a", "w")], "page_id string, url string, allowed int, action string, ways string")
+    for limit in (99, 2):
+        assert u.filter_urls(pages, ENTRIES, broadcast_entries=limit).collect() == [("p", "http://example.com", False, "example.com")]

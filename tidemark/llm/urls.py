@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, kind
 
+_NAMES = ("spam-farm", "free-bets", "cheap-pills", "ads-track", "casino-win", "adult-x")
 #: The production entries: (host with optional path, "allow" or "block").
-ENTRIES = [
-    ("spam-farm.example.org", "block"), ("free-bets.example.com", "block"), ("cheap-pills.example.com", "block"),
-    ("ads-track.example.org", "block"), ("ads-track.example.org/en", "allow"), ("www.cheap-pills.example.com/fr", "allow"),
+ENTRIES = [(f"{name}.example.{top}", "block") for name in _NAMES for top in ("com", "net", "org")] + [
+    ("ads-track.example.org/en", "allow"), ("www.cheap-pills.example.com/fr", "allow"), ("m.ads-track.example.com/de", "allow"),
     ("example.net/es", "block"), ("blog.tionsh.example.net", "allow"), ("blog.tionsh.example.net/es", "block"),
     ("m.free-bets.example.com/de/963", "allow"), ("therin.example.net", "block"), ("therin.example.net/en", "allow"),
 ]
@@ -92,13 +92,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def filter_urls(pages: DataFrame, entries: list[tuple[str, str]] | DataFrame = ENTRIES, id_col: str = "page_id", url_col: str = "url", *, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """(page_id, url, allowed, entry) for every row of pages.
 
-    entry is the longest that covers the URL, null without one. Null URLs, and texts without a host, are covered by
+    entry is the longest that covers the URL, null without one. Ids keep their type; an empty table gives an empty
+    result; long URLs are read whole; other columns are never looked at, whatever their names. Null URLs, and texts without a host, are covered by
     nothing and allowed. Repeated rows get rows of their own. Entries may be a DataFrame (entry, action); rows
     without a host or with another action are passed over, and of equal ways the allow entry, then the least text,
     counts. More than broadcast_entries are joined on the ways instead of being broadcast, with the same result.
     """
     spark = pages.sparkSession
-    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"))
+    rows = pages.select(col(id_col).alias("page_id"), col(url_col).cast("string").alias("url"))
     if isinstance(entries, DataFrame):
         entries = entries.select("entry", "action").filter("entry IS NOT NULL AND action IN ('allow', 'block')")
         few = entries.limit(broadcast_entries + 1).collect()
@@ -108,14 +109,14 @@ def filter_urls(pages: DataFrame, entries: list[tuple[str, str]] | DataFrame = E
     elif len(entries) > broadcast_entries:
         return _join(rows, spark.createDataFrame(entries, "entry string, action string"))
     trie = spark.sparkContext.broadcast(Trie(entries))
-    found = rows.mapInArrow(_decide(trie), "page_id long, url string, action string, entry string")
+    found = rows.mapInArrow(_decide(trie), f"page_id {kind(rows, 'page_id')}, url string, action string, entry string")
     return found.select("page_id", "url", (F.coalesce("action", F.lit("allow")) == "allow").alias("allowed"), "entry")
 
 
 def _join(rows: DataFrame, entries: DataFrame) -> DataFrame:
     ways = entries.select("action", F.col("entry").alias("url")).mapInArrow(_prefixes, "action string, url string, ways array<binary>").filter("size(ways) > 0")
     ends = ways.groupBy(F.element_at("ways", -1).alias("way")).agg(F.min(F.struct("action", "url")).alias("best"))
-    urls = rows.select("page_id", "url").filter("url IS NOT NULL").mapInArrow(_prefixes, "page_id long, url string, ways array<binary>")
+    urls = rows.select("page_id", "url").filter("url IS NOT NULL").mapInArrow(_prefixes, f"page_id {kind(rows, 'page_id')}, url string, ways array<binary>")
     steps = urls.select("url", "ways").distinct().select(F.xxhash64("url").alias("u"), F.sha2("url", 256).alias("v"), F.posexplode("ways").alias("n", "way")).join(ends, "way")
     found = steps.groupBy("u", "v").agg(F.max_by("best", "n").alias("best"))
     out = rows.join(found, (F.xxhash64("url") == F.col("u")) & (F.sha2("url", 256) == F.col("v")), "left")
