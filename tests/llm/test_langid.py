@@ -86,3 +86,17 @@ def test_rare_languages_are_known(spark):
 def test_shares():
     assert g.shares({"a": 1, "b": 1000, "c": 1000, "d": 20}, 100) == {"a": 1, "d": 20, "b": 39, "c": 40}
     assert g.shares({"a": 5, "b": 5, "c": 5}, 2) == {"a": 1, "b": 1, "c": 1} and g.shares({}, 9) == {}
+
+
+def test_ties_take_the_first_language():
+    n = g.Network(["aa", "bb"], hidden=2)
+    n.weights = {k: np.zeros_like(v) for k, v in n.weights.items()}
+    total, count = n.documents(np.frombuffer(b"some text", np.uint8), np.array([0, 9]))
+    assert total[0].argmax() == 0 and total[0][0] == total[0][1] and count[0].tolist() == [9, 0]
+
+
+def test_ids_keep_their_type_and_long_texts_give_segments_from_everywhere(spark):
+    docs = spark.createDataFrame([("x", "a" * 40, "aa"), ("y", "b" * 40, "bb")], "doc_id string, text string, lang string")
+    assert [r.doc_id for r in g.identify(docs, steps=2, per_document=1).orderBy("doc_id").collect()] == ["x", "y"]
+    x, _ = g.segments(["".join(chr(97 + k // g.LENGTH % 26) for k in range(26 * g.LENGTH))], most=26)
+    assert sorted(chr(row[0]) for row in x) == [chr(97 + k) for k in range(26)]

@@ -3,7 +3,7 @@
 Texts are read as UTF-8 in segments of ``SEGMENT`` bytes, each with a state of its own. One gated recurrent unit
 reads a segment forwards, another backwards; at every byte the two states give a probability for each language.
 A document's probabilities are the mean over all its bytes. The network is trained by backpropagation through time
-(Adam) on segments of at most ``SAMPLE`` labelled documents. All languages of labelled documents with a text are
+(Adam) on ``PER_DOCUMENT`` segments of ``LENGTH`` bytes, drawn anywhere, of each of at most ``SAMPLE`` labelled documents. All languages of labelled documents with a text are
 known to it: they share the sample evenly, what rare ones leave over goes to the others, and of each language the
 documents with the least seeded hash of their id are taken. With more languages than ``SAMPLE``, each gets one.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, kind
 
 HIDDEN, SEGMENT, CHUNK = 8, 128, 4096
 SAMPLE, PER_DOCUMENT, STEPS, BATCH, LENGTH, RATE, SEED = 800, 12, 260, 128, 64, 0.02, 5
@@ -193,9 +193,12 @@ def shares(sizes: dict[str, int], sample: int) -> dict[str, int]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample: int = SAMPLE, steps: int = STEPS, seed: int = SEED) -> Network | None:
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+    sample: int = SAMPLE, per_document: int = PER_DOCUMENT, steps: int = STEPS, seed: int = SEED,
+) -> Network | None:
     """A network from at most `sample` labelled documents, but one of each language at least; None where none has a
-    label and a text."""
+    label and a text. Of each, `per_document` segments of LENGTH bytes are taken, drawn from the whole text."""
     text = col(text_col).cast("string")
     rows = docs.select(text.alias("t"), col(lang_col).cast("string").alias("y"), F.xxhash64(F.lit(seed), col(id_col).cast("string")).alias("h"), F.length(text).alias("n")).filter("y IS NOT NULL AND n > 0")
     share = shares({r[0]: r[1] for r in rows.groupBy("y").count().collect()}, sample) if sample > 0 else {}
@@ -214,7 +217,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = near.filter("r <= share").orderBy("o", "y").select("t", "y").collect()
     languages = sorted({r.y for r in rows})
     network = Network(languages, seed=seed)
-    x, owner = segments([r.t for r in rows])
+    x, owner = segments([r.t for r in rows], most=per_document)
     network.fit(x, np.array([languages.index(r.y) for r in rows])[owner], steps)
     return network
 
@@ -238,17 +241,23 @@ def _label(network):
     return run
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample: int = SAMPLE, steps: int = STEPS, seed: int = SEED) -> DataFrame:
+def identify(
+    docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+    sample: int = SAMPLE, per_document: int = PER_DOCUMENT, steps: int = STEPS, seed: int = SEED,
+) -> DataFrame:
     """(doc_id, lang, confidence, n_bytes, languages, position_counts) for every row of docs, in place.
 
     confidence is the document's probability of lang, position_counts says how many bytes are labelled as each of
     languages. Ties go to the first language. Null and empty texts have null lang and confidence and no bytes.
-    Repeated rows, and rows without an id, get rows of their own. The network is trained on labelled (docs itself
-    if not given); where that has no labels, every lang is null and there are no languages.
+    Ids keep their type; repeated rows, and rows without an id, get rows of their own; long texts are labelled whole,
+    byte by byte; an empty table gives an empty result; other columns are never looked at, whatever their names. The
+    network is trained on labelled (docs itself if not given), on a sample that is bounded by the parameters `sample`
+    (documents) and `per_document` (segments of each, drawn from its whole text); where that has no labels, every lang
+    is null and there are no languages.
     """
-    network = train(docs if labelled is None else labelled, id_col, text_col, lang_col, sample=sample, steps=steps, seed=seed)
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("t"))
-    schema = "doc_id long, lang string, confidence double, n_bytes long, languages array<string>, position_counts array<long>"
+    network = train(docs if labelled is None else labelled, id_col, text_col, lang_col, sample=sample, per_document=per_document, steps=steps, seed=seed)
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("t"))
+    schema = f"doc_id {kind(docs, id_col)}, lang string, confidence double, n_bytes long, languages array<string>, position_counts array<long>"
     if network is None:
         none = F.array().cast("array<string>"), F.array().cast("array<long>")
         return rows.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), none[0].alias("languages"), none[1].alias("position_counts"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col
+from .common import col, kind
 
 VOCABULARY, WIDTHS, RANK_BITS, CACHE_WORDS = "/opt/tokenizers/byte_bpe_50k.tiktoken", (10, 7), 512, 500_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -160,7 +160,9 @@ def _run(path: str, widths: tuple[int, ...]):
 def token_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """(doc_id, n_tokens, code) for every row of docs, in place: nothing is shuffled.
 
-    A null text has null for both, an empty one a code of no ids. Repeated rows, and rows without an id, get rows
-    of their own. Code(code)[i] reads token i.
+    A null text has null for both, an empty one a code of no ids; long texts are encoded whole. Ids keep their type;
+    repeated rows, and rows without an id, get rows of their own. An empty table gives an empty result. Other columns
+    are never looked at, whatever their names. Code(code)[i] reads token i.
     """
-    return docs.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("t")).mapInArrow(_run(vocabulary, widths), "doc_id long, n_tokens long, code binary")
+    rows = docs.select(col(id_col).alias("i"), col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(_run(vocabulary, widths), f"doc_id {kind(docs, id_col)}, n_tokens long, code binary")
