@@ -35,12 +35,12 @@ def duck():
     return con
 
 
-def same(a, b) -> None:
-    """Both pandas frames hold the same rows, whatever their order."""
+def same(a, b, ordered: bool = False) -> None:
+    """Both pandas frames hold the same rows, in the same order if asked for."""
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
     x, y = ([tuple(map(_plain, r)) for r in f[columns].itertuples(index=False)] for f in (a, b))
-    assert sorted(x) == sorted(y)
+    assert x == y if ordered else sorted(x) == sorted(y)
 
 
 def _plain(v) -> str:

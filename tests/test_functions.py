@@ -1,11 +1,16 @@
+import base64
+import pickle
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidValue
 from tidemark.functions import filters as f
 from tidemark.functions import ids, text
-from tidemark.functions.chunking import Chunker, Limits
-from tidemark.functions.counting import PatternCounter, WordCounter
+from tidemark.functions.chunking import Chunker, Limits, Piece
+from tidemark.functions.counting import PatternCounter, WordCounter, default_counter
 from tidemark.functions.vectors import cosine
 from tidemark.operators.mmr import mmr
 
@@ -98,3 +103,36 @@ def test_force_split():
 
 def test_counters():
     assert PatternCounter().count("a, b!") == 4 and PatternCounter().truncate("a, b!", 2) == "a," and WordCounter().truncate(" a b c", 2) == " a b"
+
+
+def test_forced_pieces_equal_adding_words_one_by_one():
+    class Bytes:  # counts that don't add up
+        additive = False
+
+        def count(self, text):
+            return -(-len(text) // 3)
+
+    rng = random.Random(0)
+    for counter in (WordCounter(), PatternCounter(), Bytes()):
+        for _ in range(50):
+            c = Chunker(counter, Limits(embed=1, target=rng.randint(1, 12), overlap=0, least=0))
+            text = " ".join("".join(rng.choice("ab,") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 40)))
+            want, held = [], []
+            for word in text.split():
+                if held and counter.count(" ".join([*held, word])) > c.limits.target:
+                    want.append(" ".join(held))
+                    held = []
+                held.append(word)
+            assert [x[0] for x in c._forced(Piece(text, 0, len(text), 99))] == [*want, " ".join(held)]
+    began = time.process_time()
+    Chunker(WordCounter()).chunks("word " * 100_000, "tool_output")
+    assert time.process_time() - began < 2
+
+
+def test_rank_file_counter(tmp_path):
+    ranks = tmp_path / "ranks"
+    pieces = [bytes([b]) for b in range(256)] + [b"he", b"ll", b"hell", b"hello"]
+    ranks.write_bytes(b"\n".join(base64.b64encode(p) + b" " + str(k).encode() for k, p in enumerate(pieces)))
+    c = default_counter(str(ranks))
+    assert (c.count("hello"), c.count("hello hello"), c.truncate("hello hello", 1), c.truncate("hi", 9)) == (1, 3, "hello", "hi")
+    assert isinstance(default_counter("/nowhere"), PatternCounter) and pickle.loads(pickle.dumps(c)).count("hell") == 1

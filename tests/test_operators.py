@@ -1,5 +1,7 @@
 import json
+import logging
 import os
+import sys
 from datetime import datetime
 
 import pytest
@@ -8,10 +10,15 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.engine import Engine
 from tidemark.errors import InvalidSession, InvalidValue
-from tidemark.functions.chunking import Chunker
+from tidemark.functions.chunking import Chunker, Limits
+from tidemark.functions.counting import WordCounter
 from tidemark.functions.filters import SearchFilters
+from tidemark.functions.vectors import cosine_to
+from tidemark.logging_json import JsonFormatter
 from tidemark.operators import context, embed, events, search, sessions, upsert, vectors
+from tidemark.schemas import SESSIONS
 from tidemark.sources import sessions_dir, star
+from tidemark.sources.store import Store
 from tidemark.streaming import ingest, windows
 
 from .conftest import SF
@@ -121,14 +128,55 @@ class Flaky:
     def embed_batch(self, texts):
         if any("bad" in t for t in texts):
             raise RuntimeError("no")
+        if any("down" in t for t in texts):
+            raise ConnectionError("no")
         return [[1.0, float(len(t))] for t in texts]
 
 
 def test_embedding_isolation(spark):
     fast = embed.Retry(attempts=1, sleep=lambda s: None)
+    assert embed.embed_isolated(["bad"] * 5 + ["a"], Flaky(), 1, retry=fast) == [None] * 5 + [[1.0, 1.0]]  # bad input isn't the provider's fault
     got = embed.embed_isolated(["a", None, "bad", " ", "ccc"], Flaky(), 1, retry=fast)
     assert got == [[1.0, 1.0], None, None, None, [1.0, 3.0]]
-    assert embed.embed_isolated(["bad"] * 4 + ["a"], Flaky(), 1, retry=fast, breaker=embed.Breaker(threshold=3)) == [None] * 5
+    assert embed.embed_isolated(["down"] * 4 + ["a"], Flaky(), 1, retry=fast, breaker=embed.Breaker(threshold=3)) == [None] * 5
+
+
+def test_only_passing_errors_are_tried_again_and_counted():
+    class Bad(Exception):
+        status_code = 400
+
+    for error, tries in ((Bad(), 1), (ValueError(), 1), (TimeoutError(), 6), (OSError(), 6)):
+        calls, b = [], embed.Breaker(threshold=100)
+
+        def call(error=error, calls=calls):
+            calls.append(1)
+            raise error
+
+        with pytest.raises(type(error)):
+            embed.Retry(sleep=lambda s: None).run(call, b)
+        assert len(calls) == tries and b.failures == (tries if tries > 1 else 0)
+
+
+def test_texts_are_cut_to_the_providers_limit(spark, messages):
+    class Short(embed.HashProvider):
+        def embed_batch(self, texts):
+            assert all(len(t.split()) <= 2 for t in texts)
+            return super().embed_batch(texts)
+
+    long = messages.withColumn("content", F.lit("one two three four"))
+    got = embed.message_vectors(long, Short(8), Chunker(WordCounter(), Limits(embed=2, target=9, overlap=0, least=0))).collect()
+    assert got and all(r.vector is not None and r.source_text == "one two three four" for r in got)
+
+
+def test_known_vectors_are_not_made_again(spark, messages):
+    class Never(embed.HashProvider):
+        def embed_batch(self, texts):
+            raise AssertionError
+
+    first = embed.message_vectors(messages, embed.HashProvider(8))
+    known = embed.known_vectors(first, "hashed-words")
+    again = embed.message_vectors(messages, Never(8), known=known)
+    assert again.filter("vector IS NULL").count() == 0 and again.count() == first.count() > 0
 
 
 def test_retry_breaker_cache():
@@ -176,6 +224,7 @@ def test_engine(spark, tmp_path):
         assert (s.bundle, s.turn_count, s.created.year) == ("b", 2, 2024)
         lines = spark.createDataFrame([("u", "h", "p", "s", r, f"content {k}", k, k) for k, r in enumerate(["user", "assistant", "user"])], "user_id string, host_id string, project_slug string, session_id string, role string, content string, turn int, k int")
         assert tuple(e.sync_transcript_lines(lines, "k").first()) == (3, 3, 0)
+        assert vars(e.backfill_embeddings("u")) == {"found": 0, "stored": 0, "failed": 0, "errors": []}
         e.sync_transcript_lines(lines.withColumn("content", F.lit("changed")), "k", with_vectors=False)
         assert [(r.id, r.content) for r in e.get_transcript_lines("u", "p", "s").collect()] == [(f"s_msg_{k}", "changed") for k in range(3)]
         e.sync_event_lines(lines.select("user_id", "host_id", "project_slug", "session_id", "k", F.lit("tool:pre").alias("event"), F.lit('{"data":{"tool_name":"ls"}}').alias("data")), "k", 1)
@@ -189,8 +238,18 @@ def test_engine(spark, tmp_path):
         e.upsert_embeddings(spark.createDataFrame([("s_msg_0", "u", "s", "p", [1.0] * 8)], "parent_id string, user_id string, session_id string, project_slug string, vector array<double>"), "m")
         assert e.store.read("transcript_vectors").filter("parent_id = 's_msg_0'").count() == 1
         assert e.get_active_sessions().count() == 1 and e.search_events(tool_name="ls").count() == 3
-        e.compact()
+        before = e.store.read("transcripts").collect()
+        e.compact(vacuum=True)
+        at = e.store.snapshot("transcripts")
+        assert at.base is not None and not at.log and not os.listdir(tmp_path / "transcripts" / "log")
+        assert sorted(map(str, e.store.read("transcripts").collect())) == sorted(map(str, before))
+        assert "Exchange" not in e.search_sessions()._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in e.store.read("transcripts").filter("role = 'user'")._jdf.queryExecution().executedPlan().toString()
+        plan = e.vector_search("u", [1.0] * 8)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "PushedFilters: [IsNotNull(user_id)" in plan
         assert e.get_transcript_lines("u", "p", "s").count() == 3
+        e.sync_transcript_lines(lines.filter("k < 1").withColumn("content", F.lit("x" * 2_000_000)), "k", with_vectors=False)
+        assert [r.content[:11] for r in e.get_transcript_lines("u", "p", "s").collect()] == ["[content of", "changed", "changed"]
         e.initialize()
         assert spark.sql("SELECT count(*) FROM vectors_with_context").first()[0] == 3
         assert not e.delete_session("u", "other", "s") and e.delete_session("u", "p", "s")
@@ -201,6 +260,87 @@ def test_engine(spark, tmp_path):
             e.upsert_session_metadata([{"user_id": "u"}])
 
 
+def test_the_last_of_a_batch_holds(spark, tmp_path):
+    e = Engine(spark, Config(base_path=str(tmp_path), buckets=2))
+    batch = [{"user_id": "u", "session_id": "s", "bundle": f"b{k}", "created": datetime(2024, 1, 1 + k)} for k in range(5)]
+    e.upsert_session_metadata(batch)
+    s = e.get_session_metadata("u", "s").first()
+    assert (s.bundle, s.created.day) == ("b4", 1)
+    rows = spark.createDataFrame([("u", "s", f"c{k}", k) for k in range(5)], "user_id string, session_id string, bundle string, k int")
+    e.upsert_session_metadata(rows.orderBy(F.col("k").desc()), order="k")
+    s = e.get_session_metadata("u", "s").first()
+    assert (s.bundle, s.created.day, s.turn_count) == ("c4", 1, 0)
+    with pytest.raises(InvalidSession):
+        e.upsert_session_metadata(rows)
+
+
+def test_store_beside_compaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path), 2)
+    rows = lambda *k: spark.createDataFrame([("u", f"s{n}", v) for n, v in k], "user_id string, session_id string, bundle string")
+    got = lambda: {r.session_id: r.bundle for r in store.read("sessions").collect()}
+    for k in range(4):
+        store.append("sessions", rows((k, f"a{k}"), (9, f"x{k}")))
+    old = store.snapshot("sessions")
+    first = store.compact("sessions")
+    assert store.compact("sessions") is None and store.snapshot("sessions").base == first
+    assert got() == {"s0": "a0", "s1": "a1", "s2": "a2", "s3": "a3", "s9": "x3"}
+    files = lambda: sum(len(f) for _, _, f in os.walk(tmp_path / "sessions"))
+    n = files()
+    assert store.vacuum("sessions") == len(old.log) and files() < n
+    store.append("sessions", rows((1, "new"), (5, "more")))
+    store.delete(rows((2, None), (9, None)))
+    assert got() == {"s0": "a0", "s1": "new", "s3": "a3", "s5": "more"}
+    late = store._version()  # taken before the compaction, written after it
+    store.append("sessions", rows((2, "back")))
+    store.compact("sessions")
+    full = rows((7, "late")).withColumns({"__v": F.lit(late).cast("long"), "__bucket": store.bucket(F.col("session_id"))})
+    for f in SESSIONS.fields:
+        full = full if f.name in full.columns else full.withColumn(f.name, F.lit(None).cast(f.dataType))
+    store._write(full.select(*SESSIONS.names, "__v", "__bucket"), f"sessions/log/__write={late}")
+    assert got() == {"s0": "a0", "s1": "new", "s2": "back", "s3": "a3", "s5": "more", "s7": "late"}
+    assert store.migrate(spark.createDataFrame([("m", "u", "s", "p", [1.0], None, None, None)], "id string, user_id string, session_id string, project_slug string, user_query_vector array<double>, assistant_response_vector array<double>, assistant_thinking_vector array<double>, tool_output_vector array<double>"))
+    assert store.read("transcript_vectors").count() == 1 and store.migrate(spark.createDataFrame([], "id string")) is None
+
+
+def test_backfill_goes_on_after_a_batch_that_fails(spark, tmp_path, messages, monkeypatch):
+    e = Engine(spark, Config(base_path=str(tmp_path), buckets=2), provider=embed.HashProvider(8))
+    e.store.append("transcripts", messages)
+    real, seen = e._embed, []
+
+    def embed_(rows):
+        if rows.filter("sequence = 0").count():
+            raise OSError("lost")
+        return real(rows)
+
+    monkeypatch.setattr(e, "_embed", embed_)
+    out = e.backfill_embeddings("u", batch_size=4, on_progress=lambda *n: seen.append(n))
+    assert (out.found, out.failed) == (10, 4) and out.stored > 0 and out.errors == ["batch 1: lost"] and seen == [(4, 10), (8, 10), (10, 10)]
+
+
+def test_settings():
+    c = Config.from_env({"TIDEMARK_BASE_PATH": "/x", "TIDEMARK_BUCKETS": "3", "TIDEMARK_REUSE_VECTORS": "yes", "OTHER": "1"})
+    assert (c.base_path, c.buckets, c.reuse_vectors, c.dimensions) == ("/x", 3, True, 64)
+
+
+def test_json_log_lines():
+    record = logging.LogRecord("n", logging.WARNING, "f.py", 7, "hello %s", ("you",), None)
+    record.session, record.odd = "s", {1}
+    line = json.loads(JsonFormatter().format(record))
+    assert (line["level"], line["message"], line["line"], line["session"], line["odd"]) == ("WARNING", "hello you", 7, "s", "{1}")
+    try:
+        raise ValueError("x")
+    except ValueError:
+        record.exc_info = sys.exc_info()
+    assert json.loads(JsonFormatter().format(record))["exception_type"] == "ValueError"
+
+
+def test_cosine_to(spark):
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [-6.0, -8.0])], "id int, vector array<double>")
+    got = {r.id: r.s for r in v.select("id", cosine_to(F.col("vector"), [3, 4]).alias("s")).collect()}
+    assert got == {1: 1.0, 2: None, 3: None, 4: 0.0, 5: None, 6: -1.0}
+    assert [r.id for r in vectors.nearest(v, [0, 0], 9).collect()] == [1, 4, 6]
+
+
 def test_session_directories(spark, tmp_path):
     d = tmp_path / "a_session"
     os.makedirs(d)

@@ -11,7 +11,7 @@ SPARK_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -27,12 +27,17 @@ class Config:
     chunk_min: int = 64
     batch_size: int = 16
     max_event_bytes: int = 400 * 1024
+    max_content_bytes: int = 1_800_000
+    reuse_vectors: bool = False
+    token_ranks: str = ""
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Config:
         env = dict(os.environ if env is None else env)
         found = {f.name: env[f"TIDEMARK_{f.name.upper()}"] for f in fields(cls) if f"TIDEMARK_{f.name.upper()}" in env}
-        return cls(**{k: v if k == "base_path" else int(v) for k, v in found.items()})
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        read = {str: str, int: int, bool: lambda v: v.strip().lower() in ("1", "true", "yes", "on")}
+        return cls(**{k: read[kinds[k]](v) for k, v in found.items()})
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .config import Config
 from .errors import InvalidSession
 from .functions import filters as f
 from .functions.chunking import Chunker, Limits
-from .functions.counting import PatternCounter, TokenCounter
+from .functions.counting import TokenCounter, default_counter
 from .functions.filters import SearchFilters
 from .operators import context, embed, events, search, sessions, upsert, vectors
 from .schemas import SESSIONS, TABLES
@@ -24,7 +25,7 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config = Config(), provider: embed.Provider | None = None, counter: TokenCounter | None = None):
         self.spark, self.config, self.provider = spark, config, provider
         self.store = Store(spark, config.base_path, config.buckets)
-        self.counter = counter or PatternCounter()
+        self.counter = counter or default_counter(config.token_ranks)
         self.chunker = Chunker(self.counter, Limits(config.embed_token_limit, config.chunk_target, config.chunk_overlap, config.chunk_min))
 
     def __enter__(self) -> Engine:
@@ -81,8 +82,7 @@ class Engine:
         return self.provider is not None
 
     def vector_search(self, user_id: str, query_vector: Sequence[float], filters: SearchFilters = SearchFilters(), top_k: int = 100, vector_columns: Sequence[str] | None = None) -> DataFrame:
-        rows = f.on_messages(self._messages().filter(f.every([f.of_user(user_id)])), filters, self.store.read("sessions"))
-        own = self._vectors().join(rows.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+        own = f.on_vectors(self._vectors(), user_id, filters, self._messages(), self.store.read("sessions"))
         return vectors.vector_search(own, query_vector, top_k, vector_columns)
 
     def list_users(self, filters: SearchFilters = SearchFilters()) -> DataFrame:
@@ -124,13 +124,23 @@ class Engine:
 
     # -- writing ----------------------------------------------------------------------------------------------
 
-    def upsert_session_metadata(self, rows: DataFrame | Iterable[dict]) -> None:
+    def upsert_session_metadata(self, rows: DataFrame | Iterable[dict], order: str | None = None) -> None:
+        """Of several rows of one session the last one holds: of dictionaries by their place, of a DataFrame by the
+        column `order`, without which a session must not come twice."""
         if not isinstance(rows, DataFrame):
-            rows = self.spark.createDataFrame([{k: r.get(k) for k in SESSIONS.names} for r in rows], SESSIONS)
+            listed = [{k: r.get(k) for k in SESSIONS.names} | {"__order": n} for n, r in enumerate(rows)]
+            rows, order = self.spark.createDataFrame(listed, T.StructType([*SESSIONS.fields, T.StructField("__order", T.LongType())])), "__order"
         if rows.filter(F.col("session_id").isNull() | (F.col("session_id") == "")).limit(1).count():
             raise InvalidSession("session_id is missing", field="session_id")
-        rows = rows.withColumns({"turn_count": F.coalesce("turn_count", F.lit(0)), "synced_at": F.current_timestamp()})
-        self.store.append("sessions", rows.dropDuplicates(["user_id", "session_id"]))
+        if order is None:
+            if rows.groupBy(*upsert.SESSION_KEY).count().filter("count > 1").limit(1).count():
+                raise InvalidSession("a session comes twice and no order is given", field="order")
+            rows, order = rows.withColumn("__order", F.lit(0)), "__order"
+        given = [c for c in SESSIONS.names if c in rows.columns]
+        if "turn_count" not in given:
+            rows, given = rows.withColumn("turn_count", F.lit(0)), [*given, "turn_count"]
+        folded = upsert.upsert_sessions(None, rows.select(*given, F.col(order).alias("__order")), "__order").drop("__order")
+        self.store.append("sessions", folded.withColumn("synced_at", F.current_timestamp()))
 
     def sync_transcript_lines(self, lines: DataFrame, order: str, start_sequence: int = 0, with_vectors: bool = True) -> DataFrame | None:
         """Stores lines (user_id, host_id, project_slug, session_id, role, content, turn, ts) in the given order.
@@ -139,6 +149,7 @@ class Engine:
         vectors. Gives the outcome of embedding, if any was tried.
         """
         rows = upsert.numbered(lines, order, start_sequence, "msg").withColumn("synced_at", F.current_timestamp())
+        rows = upsert.oversize_guard(rows, self.config.max_content_bytes)
         self.store.append("transcripts", rows)
         return self._embed(rows) if with_vectors and self.provider else None
 
@@ -147,9 +158,10 @@ class Engine:
         self.store.append("events", rows.withColumn("synced_at", F.current_timestamp()))
 
     def _embed(self, messages: DataFrame) -> DataFrame:
-        found = embed.message_vectors(messages, self.provider, self.chunker)
+        known = embed.known_vectors(self._vectors(), self.provider.model_name) if self.config.reuse_vectors else None
+        found = embed.message_vectors(messages, self.provider, self.chunker, known, self.config.batch_size)
         version = self.store.append("transcript_vectors", found.withColumn("created_at", F.current_timestamp()))
-        return embed.outcome(self.store._log("transcript_vectors").filter(F.col("__v") == version))
+        return embed.outcome(self.store.written("transcript_vectors", version))
 
     def upsert_embeddings(self, rows: DataFrame, model: str) -> None:
         """Vectors (parent_id, user_id, session_id, project_slug, vector) that replace all others of their parents."""
@@ -169,16 +181,40 @@ class Engine:
             self.store.delete(self.spark.createDataFrame(gone, "user_id string, session_id string"))
         return bool(gone)
 
-    def backfill_embeddings(self, user_id: str, project_slug: str | None = None, session_id: str | None = None, on_progress: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    def backfill_embeddings(
+        self, user_id: str, project_slug: str | None = None, session_id: str | None = None, *,
+        batch_size: int = 10_000, on_progress: Callable[[int, int], None] | None = None,
+    ) -> embed.Outcome:
+        """Embeds messages that lack vectors, in order and in batches, each of which is stored before the next.
+
+        on_progress gets how many are done and how many there are after each batch. A batch that fails counts as failed
+        and the next goes on; the first 50 errors are told.
+        """
         mine = f.every([f.of_user(user_id), f.equals("project_slug", project_slug)])
-        out = self._embed(upsert.unembedded(self._messages(session_id).filter(mine), self._vectors()))
-        if on_progress:
-            on_progress(out)
+        missing = upsert.unembedded(self._messages(session_id).filter(mine), self._vectors())
+        todo = [tuple(r) for r in missing.select("user_id", "session_id", "sequence").collect()]
+        out = embed.Outcome(found=len(todo))
+        for start in range(0, len(todo), batch_size):
+            part = todo[start : start + batch_size]
+            keys = F.broadcast(self.spark.createDataFrame(part, "__u string, __s string, __n int"))
+            same = F.col("user_id").eqNullSafe(F.col("__u")) & (F.col("session_id") == F.col("__s")) & (F.col("sequence") == F.col("__n"))
+            try:
+                done = self._embed(self._messages(session_id).join(keys, same, "left_semi")).first()
+                out.stored, out.failed = out.stored + done.stored, out.failed + done.failed
+            except Exception as e:
+                out.failed += len(part)
+                if len(out.errors) < 50:
+                    out.errors.append(f"batch {start // batch_size + 1}: {e}")
+            if on_progress:
+                on_progress(start + len(part), len(todo))
         return out
 
     def rebuild_vectors(self, user_id: str, project_slug: str | None, session_id: str) -> DataFrame:
         return self._embed(self._messages(session_id).filter(f.every([f.of_user(user_id), f.equals("project_slug", project_slug)])))
 
-    def compact(self) -> None:
+    def compact(self, vacuum: bool = False) -> None:
+        """Folds every table's log into its base; vacuum deletes what is folded, once no reader needs it."""
         for table in TABLES:
             self.store.compact(table)
+            if vacuum:
+                self.store.vacuum(table)

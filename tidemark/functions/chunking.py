@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -74,15 +76,26 @@ class Chunker:
             yield Piece(part, at, at + len(part), self.counter.count(part))
 
     def _forced(self, piece: Piece) -> Iterator[tuple[str, int, int, int]]:
-        at, held = piece.start, []
-        for word in piece.text.split():
-            if held and self.counter.count(" ".join([*held, word])) > self.limits.target:
-                text = " ".join(held)
-                yield text, at, at + len(text), self.counter.count(text)
-                at, held = at + len(text) + 1, []
-            held.append(word)
-        text = " ".join(held)
-        yield text, at, at + len(text), self.counter.count(text)
+        words, at, first = piece.text.split(), piece.start, 0
+        counts = list(itertools.accumulate(map(self.counter.count, words), initial=0)) if self.counter.additive else None
+        while first < len(words):
+            text = " ".join(words[first : (end := self._fitting(words, first, counts))])
+            yield text, at, at + len(text), self.counter.count(text)
+            at, first = at + len(text) + 1, end
+
+    def _fitting(self, words: list[str], first: int, counts: list[int] | None) -> int:
+        """The end of the longest run of words from first on that is within the target; one word at least."""
+        if counts is not None:
+            return max(first + 1, bisect.bisect_right(counts, counts[first] + self.limits.target) - 1)
+        fits = lambda end: self.counter.count(" ".join(words[first:end])) <= self.limits.target
+        low, step = first + 1, 1
+        while low + step <= len(words) and fits(low + step):
+            low, step = low + step, 2 * step
+        high = min(low + step, len(words) + 1)  # low fits or is a single word, high doesn't
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if fits(middle) else (low, middle)
+        return low
 
     def _join(self, held: list[Piece]) -> tuple[str, int, int, int]:
         text = "\n\n".join(p.text for p in held)
@@ -103,17 +116,20 @@ class Chunker:
             return whole
         out: list[tuple[str, int, int, int]] = []
         held: list[Piece] = []
+        size = 0
         for piece in self.pieces(text, content_type):
             if piece.tokens > self.limits.target:
                 out += [self._join(held)] if held else []
                 out += self._forced(piece)
-                held = []
-            elif held and sum(p.tokens for p in held) + piece.tokens > self.limits.target:
+                held, size = [], 0
+            elif held and size + piece.tokens > self.limits.target:
                 out.append(self._join(held))
                 held = [*self._tail(held), piece]
+                size = sum(p.tokens for p in held)
             else:
                 held.append(piece)
-        if held and out and sum(p.tokens for p in held) < self.limits.least:
+                size += piece.tokens
+        if held and out and size < self.limits.least:
             last = out.pop()
             joined = "\n\n".join([last[0], *(p.text for p in held)])
             out.append((joined, last[1], held[-1].end, self.counter.count(joined)))

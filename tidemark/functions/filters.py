@@ -96,10 +96,32 @@ def on_sessions(f: SearchFilters, created: str = "created") -> Column:
     ])
 
 
+def by_sessions(f: SearchFilters) -> bool:
+    """Whether any filter asks for what only sessions know."""
+    return f.bundle is not None or f.min_turn_count is not None or f.max_turn_count is not None or bool(f.tags)
+
+
+def on_vectors(vectors: DataFrame, user_id: str, f: SearchFilters, messages: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Filters on vectors by what they know themselves; sessions and, for dates, messages are looked up only if asked
+    for, and only their ids."""
+    known = {c: v for c, v in (("project_slug", f.project_slug), ("session_id", f.session_id)) if v is not None}
+    if user_id:
+        known["user_id"] = user_id
+    rows = vectors.filter(every([equals(c, v) for c, v in known.items() if c in vectors.columns]))
+    if f.start_date is not None or f.end_date is not None or any(c not in vectors.columns for c in known) or by_sessions(f) and "session_id" not in vectors.columns:
+        wanted = on_messages(messages.filter(every([of_user(user_id)])), f, sessions)
+        return rows.join(wanted.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return _of_sessions(rows, f, sessions)
+
+
+def _of_sessions(df: DataFrame, f: SearchFilters, sessions: DataFrame | None) -> DataFrame:
+    if sessions is None or not by_sessions(f):
+        return df
+    wanted = sessions.filter(on_sessions(SearchFilters(bundle=f.bundle, min_turn_count=f.min_turn_count, max_turn_count=f.max_turn_count, tags=f.tags)))
+    return df.join(wanted.select("session_id"), "session_id", "left_semi")
+
+
 def on_messages(df: DataFrame, f: SearchFilters, sessions: DataFrame | None = None, ts: str = "ts") -> DataFrame:
     """Filters on rows below sessions; what only sessions know is looked up there by a semi join."""
     df = df.filter(every([equals("project_slug", f.project_slug), equals("session_id", f.session_id), between(ts, f.start_date, f.end_date)]))
-    if sessions is not None and (f.bundle is not None or f.min_turn_count is not None or f.max_turn_count is not None or f.tags):
-        wanted = sessions.filter(on_sessions(SearchFilters(bundle=f.bundle, min_turn_count=f.min_turn_count, max_turn_count=f.max_turn_count, tags=f.tags)))
-        df = df.join(wanted.select("session_id"), "session_id", "left_semi")
-    return df
+    return _of_sessions(df, f, sessions)

@@ -69,6 +69,9 @@ def missing_sequences(rows: DataFrame, expected: DataFrame, base: int = 0) -> Da
 
 def sync_gaps(rows: DataFrame, expected: DataFrame, base: int = 0) -> DataFrame:
     """(session_id, expected, n_missing, missing): the missing sequences of each session as a sorted list."""
-    gaps = missing_sequences(rows, expected, base).groupBy("session_id").agg(F.sort_array(F.collect_list("sequence")).alias("missing"))
-    out = expected.filter("expected IS NOT NULL").join(gaps, "session_id", "left")
-    return out.select("session_id", "expected", F.coalesce(F.size("missing"), F.lit(0)).alias("n_missing"), F.coalesce("missing", F.array().cast("array<int>")).alias("missing"))
+    none = F.array().cast("array<int>")
+    held = rows.groupBy("session_id").agg(F.collect_set(F.col("sequence").cast("int")).alias("held"))
+    out = expected.filter("expected IS NOT NULL").join(held, "session_id", "left")
+    wanted = F.when(F.col("expected") > 0, F.sequence(F.lit(base), F.col("expected").cast("int") + base - 1)).otherwise(none)
+    out = out.withColumn("missing", F.array_except(wanted, F.coalesce("held", none)))
+    return out.select("session_id", "expected", F.size("missing").alias("n_missing"), "missing")

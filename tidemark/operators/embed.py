@@ -6,6 +6,7 @@ breaker for each task; a batch that fails leaves null vectors, never a failed jo
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import time
@@ -16,14 +17,17 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmbeddingFailure
 from ..functions import ids, text
 from ..functions.chunking import Chunker
+from ..functions.counting import TokenCounter
+from ..schemas import CONTENT_TYPES
 
 RETRY_STATUS = {429, 500, 502, 503, 504}
+RETRY_ERRORS = (ConnectionError, TimeoutError, OSError)
 
 
 class Provider(Protocol):
@@ -98,8 +102,17 @@ class Breaker:
         return {"failures": self.failures, "open": not self.closed}
 
 
+def passing(error: BaseException) -> bool:
+    """Whether an error may go away by itself: a lost connection, a timeout or a status that says so."""
+    status = status_of(error)
+    return isinstance(error, RETRY_ERRORS) or status is not None and status in RETRY_STATUS
+
+
 @dataclass
 class Retry:
+    """Tries again what may pass. Only such failures count for the breaker: bad input doesn't speak against the
+    provider."""
+
     attempts: int = 5
     base: float = 1.0
     most: float = 60.0
@@ -112,8 +125,9 @@ class Retry:
             try:
                 out = call()
             except Exception as e:
-                breaker.failed()
-                if n == self.attempts or (status_of(e) is not None and status_of(e) not in RETRY_STATUS):
+                if passing(e):
+                    breaker.failed()
+                if n == self.attempts or not passing(e):
                     raise
                 wait = retry_after(e)
                 self.sleep(min(self.most, self.base * 2**n) if wait is None else min(wait, self.most))
@@ -194,13 +208,43 @@ def chunked(texts: DataFrame, chunker: Chunker | None = None, keys: Sequence[str
     return texts.select(*keys, "content_type", "source_text").mapInPandas(run, schema)
 
 
-def embedded(chunks: DataFrame, provider: Provider, known: DataFrame | None = None, batch: int = 16) -> DataFrame:
+def pieces(texts: DataFrame, chunker: Chunker | None = None, keys: Sequence[str] = ("parent_id",)) -> DataFrame:
+    """(keys, piece_index, piece, span_start, span_end, token_count): what a text is cut into before pieces are put
+    together, at paragraphs, lines or sentences by content_type (C2-C5)."""
+    chunker = chunker or Chunker()
+    kinds = dict(texts.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", piece_index int, piece string, span_start int, span_end int, token_count int"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = []
+            for row in rows.itertuples(index=False):
+                found = chunker.pieces(row[-1] or "", row[-2])
+                out += [(*row[:-2], n, p.text, p.start, p.end, p.tokens) for n, p in enumerate(found)]
+            yield pd.DataFrame(out, columns=[*keys, "piece_index", "piece", "span_start", "span_end", "token_count"])
+
+    return texts.select(*keys, "content_type", "source_text").mapInPandas(run, schema)
+
+
+def text_hash(text_column: Column, model: str) -> Column:
+    """What tells texts of a model apart."""
+    return F.sha2(F.concat(F.lit(model + ":"), text_column), 256)
+
+
+def known_vectors(vectors: DataFrame, model: str) -> DataFrame:
+    """(text_hash, vector) of what a model has embedded already."""
+    own = vectors.filter((F.col("embedding_model") == model) & F.col("vector").isNotNull())
+    return own.select(text_hash(F.col("source_text"), model).alias("text_hash"), "vector").dropDuplicates(["text_hash"])
+
+
+def embedded(chunks: DataFrame, provider: Provider, known: DataFrame | None = None, batch: int = 16, truncate: Callable[[str], str] | None = None, retry: Retry | None = None) -> DataFrame:
     """chunks with a vector (null where it failed) and embedding_model.
 
-    Distinct texts are embedded once, those in known (text_hash, vector) not at all.
+    Distinct texts are embedded once, those in known (text_hash, vector) not at all. truncate cuts what is sent to the
+    provider to the length it takes.
     """
     model = provider.model_name
-    hashed = chunks.withColumn("text_hash", F.sha2(F.concat(F.lit(model + ":"), F.col("source_text")), 256))
+    hashed = chunks.withColumn("text_hash", text_hash(F.col("source_text"), model))
     new = hashed.select("text_hash", "source_text").dropDuplicates(["text_hash"])
     if known is not None:
         new = new.join(known.select("text_hash"), "text_hash", "left_anti")
@@ -208,7 +252,8 @@ def embedded(chunks: DataFrame, provider: Provider, known: DataFrame | None = No
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         breaker = Breaker()
         for rows in parts:
-            yield pd.DataFrame({"text_hash": rows["text_hash"], "vector": embed_isolated(rows["source_text"].tolist(), provider, batch, breaker=breaker)})
+            found = embed_isolated(rows["source_text"].tolist(), provider, batch, truncate, retry, breaker)
+            yield pd.DataFrame({"text_hash": rows["text_hash"], "vector": found})
 
     vectors = new.mapInPandas(run, "text_hash string, vector array<double>")
     if known is not None:
@@ -216,14 +261,37 @@ def embedded(chunks: DataFrame, provider: Provider, known: DataFrame | None = No
     return hashed.join(vectors, "text_hash", "left").drop("text_hash").withColumn("embedding_model", F.lit(model))
 
 
-def message_vectors(messages: DataFrame, provider: Provider, chunker: Chunker | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Vector records of all messages that have anything to embed."""
+def message_vectors(messages: DataFrame, provider: Provider, chunker: Chunker | None = None, known: DataFrame | None = None, batch: int = 16, retry: Retry | None = None) -> DataFrame:
+    """Vector records of all messages that have anything to embed; what is sent is cut to the chunker's limit."""
+    chunker = chunker or Chunker()
     keys = ["parent_id", "user_id", "session_id", "project_slug"]
     texts = text.unpivoted(text.extracted(messages).withColumn("parent_id", F.col("id")), keys)
-    rows = embedded(chunked(texts, chunker, keys), provider, known)
+    cut = functools.partial(_cut, chunker.counter, chunker.limits.embed)
+    rows = embedded(chunked(texts, chunker, keys), provider, known, batch, cut, retry)
     return rows.withColumn("id", ids.vector_id(F.col("parent_id"), F.col("content_type"), F.col("chunk_index")))
 
 
+def _cut(counter: TokenCounter, most: int, text_: str) -> str:
+    return counter.truncate(text_, most)
+
+
+def type_lists(messages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """messages with a vector column for each content type, from the first chunk of each; null where there is none."""
+    first = vectors.filter("chunk_index = 0").groupBy(F.col("parent_id").alias("id"))
+    wide = first.agg(*(F.first(F.when(F.col("content_type") == c, F.col("vector")), ignorenulls=True).alias(f"{c}_vector") for c in CONTENT_TYPES))
+    return messages.join(wide, "id", "left")
+
+
+@dataclass
+class Outcome:
+    """What became of the messages of a backfill: rows, vectors stored and failed, and the first errors."""
+
+    found: int = 0
+    stored: int = 0
+    failed: int = 0
+    errors: list[str] = field(default_factory=list)
+
+
 def outcome(vectors: DataFrame) -> DataFrame:
     """(found, stored, failed) over vector records."""
     return vectors.agg(F.count("*").alias("found"), F.count("vector").alias("stored"), F.count_if(F.col("vector").isNull()).alias("failed"))

@@ -41,9 +41,10 @@ def _scoped(rows: DataFrame, user_id: str, options: TranscriptSearchOptions, ses
 def transcript_leg(messages: DataFrame, options: TranscriptSearchOptions, limit: int, case_insensitive: bool = False) -> DataFrame:
     """Messages that hold the query, the latest first."""
     hit = f.every([f.contains(text.searchable(F.col("content")), options.query, case_insensitive), f.roles(options.search_in_user, options.search_in_assistant)])
-    rows = messages.filter(hit).orderBy(F.col("ts").desc_nulls_last(), F.col("session_id").asc(), F.col("sequence").asc()).limit(limit)
-    none = F.lit(None).cast("string")
-    return rows.select("id", "session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), none.alias("matched_text"), F.lit(None).cast("int").alias("span_start"), F.lit(None).cast("int").alias("span_end"), F.lit(1.0).alias("score"), F.lit("full_text").alias("source"))
+    rows = messages.filter(hit).select("id", "session_id", "project_slug", "sequence", "ts")
+    rows = rows.orderBy(F.col("ts").desc_nulls_last(), F.col("session_id").asc(), F.col("sequence").asc()).limit(limit)
+    nothing = {"matched_text": F.lit(None).cast("string"), "span_start": F.lit(None).cast("int"), "span_end": F.lit(None).cast("int")}
+    return rows.withColumns({**nothing, "score": F.lit(1.0), "source": F.lit("full_text")})
 
 
 def chunk_leg(messages: DataFrame, vectors: DataFrame, options: TranscriptSearchOptions, limit: int, case_insensitive: bool = False) -> DataFrame:
@@ -53,8 +54,25 @@ def chunk_leg(messages: DataFrame, vectors: DataFrame, options: TranscriptSearch
     found = vectors.filter(f.every([hit, kinds])).select("parent_id", "content_type", "chunk_index", "source_text", "span_start", "span_end")
     first = Window.partitionBy("parent_id").orderBy("content_type", "chunk_index")
     found = found.withColumn("__r", F.row_number().over(first)).filter("__r = 1")
-    rows = found.join(messages, found.parent_id == messages.id).orderBy(F.col("ts").desc_nulls_last(), F.col("id").asc()).limit(limit)
-    return rows.select("id", "session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), F.col("source_text").alias("matched_text"), "span_start", "span_end", F.lit(1.0).alias("score"), F.lit("full_text_chunk").alias("source"))
+    rows = found.join(messages.select("id", "session_id", "project_slug", "sequence", "ts"), found.parent_id == F.col("id"))
+    rows = rows.orderBy(F.col("ts").desc_nulls_last(), F.col("id").asc()).limit(limit)
+    columns = [F.col("source_text").alias("matched_text"), "span_start", "span_end", F.lit(1.0).alias("score"), F.lit("full_text_chunk").alias("source")]
+    return rows.select("id", "session_id", "project_slug", "sequence", "ts", *columns)
+
+
+def semantic_leg(messages: DataFrame, vectors: DataFrame, query_vector: Sequence[float], options: TranscriptSearchOptions, limit: int) -> DataFrame:
+    """Messages by the cosine of their best chunk."""
+    best = vector_search(vectors, query_vector, limit, options.content_types)
+    hits = best.select("parent_id", F.col("source_text").alias("matched_text"), "span_start", "span_end", "score", F.lit("semantic").alias("source"))
+    own = messages.select("id", "session_id", "project_slug", "sequence", "ts")
+    found = own.join(F.broadcast(hits), F.col("id") == F.col("parent_id")).drop("parent_id")  # hits are cut to limit
+    return found.select(*own.columns, "matched_text", "span_start", "span_end", "score", "source")
+
+
+def with_content(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """found (a leg, or legs merged: few rows) with the readable content of its messages."""
+    own = messages.select(F.col("id").alias("__id"), text.display(F.col("content")).alias("content"))
+    return own.join(F.broadcast(found), F.col("__id") == F.col("id")).select(*found.columns[:5], "content", *found.columns[5:])
 
 
 def merged(legs: Sequence[DataFrame], limit: int) -> DataFrame:
@@ -71,39 +89,47 @@ def merged(legs: Sequence[DataFrame], limit: int) -> DataFrame:
 
 
 def full_text(messages: DataFrame, vectors: DataFrame | None, options: TranscriptSearchOptions, limit: int = 10, user_id: str = "", sessions: DataFrame | None = None, case_insensitive: bool = False) -> DataFrame:
+    """Messages whose text, then messages one of whose chunks holds the query; position gives their order."""
     rows = _scoped(messages, user_id, options, sessions)
+    return with_content(merged(_text_legs(rows, vectors, options, limit, case_insensitive), limit), rows)
+
+
+def _text_legs(rows: DataFrame, vectors: DataFrame | None, options: TranscriptSearchOptions, limit: int, case_insensitive: bool = False) -> list[DataFrame]:
     legs = [transcript_leg(rows, options, limit, case_insensitive)]
     if vectors is not None:
         legs.append(chunk_leg(rows, vectors, options, limit, case_insensitive))
-    return merged(legs, limit)
+    return legs
 
 
 def semantic(messages: DataFrame, vectors: DataFrame, query_vector: Sequence[float], options: TranscriptSearchOptions, limit: int = 10, user_id: str = "", sessions: DataFrame | None = None) -> DataFrame:
     """Messages by the cosine of their best chunk; filters come before the ranking."""
     rows = _scoped(messages, user_id, options, sessions)
-    own = vectors.join(rows.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-    best = vector_search(own, query_vector, limit, options.content_types)
-    hits = best.select("parent_id", F.col("source_text").alias("matched_text"), "span_start", "span_end", "score")
-    found = hits.join(rows, hits.parent_id == rows.id)
-    found = found.select("id", "session_id", "project_slug", "sequence", "ts", text.display(F.col("content")).alias("content"), "matched_text", "span_start", "span_end", "score", F.lit("semantic").alias("source"))
+    own = f.on_vectors(vectors, user_id, options.filters, messages, sessions)
+    found = with_content(semantic_leg(rows, own, query_vector, options, limit), rows)
     return found.orderBy(F.col("score").desc(), F.col("session_id").asc(), F.col("sequence").asc())
 
 
 def hybrid(messages: DataFrame, vectors: DataFrame, query_vector: Sequence[float], options: TranscriptSearchOptions, limit: int = 10, user_id: str = "", sessions: DataFrame | None = None) -> DataFrame:
     """Both searches at three times the limit, merged text first, and re-ranked for diversity.
 
-    Up to limit candidates stay in merged order. Messages without a vector count as zero vectors.
+    Up to limit candidates stay in merged order. Messages without a vector count as zero vectors. Only ids, places and
+    scores go through the legs; vectors and contents are fetched for the candidates alone.
     """
     if not 0 <= options.mmr_lambda <= 1:
         raise InvalidValue("lambda must be within 0 and 1", value=options.mmr_lambda)
     wide = 3 * limit
-    candidates = merged([full_text(messages, vectors, options, wide, user_id, sessions).drop("position"), semantic(messages, vectors, query_vector, options, wide, user_id, sessions)], 2 * wide)
+    rows = _scoped(messages, user_id, options, sessions)
+    own = f.on_vectors(vectors, user_id, options.filters, messages, sessions)
+    words = merged(_text_legs(rows, own, options, wide), wide).drop("position")
+    candidates = merged([words, semantic_leg(rows, own, query_vector, options, wide)], 2 * wide)
+    there = own.filter("vector IS NOT NULL").select("parent_id", "chunk_index", "content_type", "vector")
+    there = there.join(F.broadcast(candidates.select(F.col("id").alias("parent_id"))), "parent_id", "left_semi")
     first = Window.partitionBy("parent_id").orderBy(F.col("chunk_index").asc(), F.col("content_type").asc())
-    one = vectors.filter("vector IS NOT NULL").withColumn("__r", F.row_number().over(first)).filter("__r = 1").select("parent_id", "vector")
-    rows = candidates.join(one, candidates.id == one.parent_id, "left").drop("parent_id")
-    rows = rows.withColumns({"query_id": F.lit(0), "query": F.lit([float(x) for x in query_vector]).cast("array<double>"), "vector": F.col("vector").cast("array<double>")})
+    one = there.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select("parent_id", F.col("vector").cast("array<double>"))
+    ranked = candidates.join(one, candidates.id == one.parent_id, "left").drop("parent_id")
+    ranked = ranked.withColumns({"query_id": F.lit(0), "query": F.lit([float(x) for x in query_vector]).cast("array<double>")})
     keep = tuple(c for c in candidates.columns if c != "position")
-    return rerank(rows, limit, options.mmr_lambda, keep).drop("query_id").orderBy("mmr_rank")
+    return with_content(rerank(ranked, limit, options.mmr_lambda, keep).drop("query_id"), rows).orderBy("mmr_rank")
 
 
 def search_transcripts(messages: DataFrame, vectors: DataFrame | None, options: TranscriptSearchOptions, embed: Callable[[str], Sequence[float]] | None = None, limit: int = 10, user_id: str = "", sessions: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, literal
+from ..functions.vectors import cosine_by_norms, cosine_to, norm
 
 
 def with_context(vectors: DataFrame, messages: DataFrame) -> DataFrame:
@@ -22,20 +22,28 @@ def best_per_parent(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scored.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:
+    """The k vectors nearest to one query, ties to the least id."""
+    scored = vectors.filter(F.col("vector").isNotNull()).withColumn("score", cosine_to(F.col("vector"), query))
+    return scored.filter("score IS NOT NULL").orderBy(F.col("score").desc(), F.col("id").asc()).limit(k)
+
+
 def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 10, content_types: Sequence[str] | None = None) -> DataFrame:
     """The k parents nearest to one query: filter, score, best chunk of each, then the top. No content type
     stands for all of them."""
     rows = vectors.filter(F.col("vector").isNotNull())
     if content_types:
         rows = rows.filter(F.col("content_type").isin(list(content_types)))
-    scored = rows.withColumn("score", cosine(F.col("vector"), literal(query))).filter("score IS NOT NULL")
+    scored = rows.withColumn("score", cosine_to(F.col("vector"), query)).filter("score IS NOT NULL")
     return best_per_parent(scored).orderBy(F.col("score").desc(), F.col("parent_id").asc()).limit(k)
 
 
 def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest parents for every row of queries (query_id, query): one pass for all of them."""
-    pairs = vectors.filter(F.col("vector").isNotNull()).crossJoin(queries)
-    scored = pairs.withColumn("score", cosine(F.col("vector"), F.col("query"))).filter("score IS NOT NULL").drop("query")
+    rows = vectors.filter(F.col("vector").isNotNull()).withColumn("__n", norm(F.col("vector")))
+    pairs = rows.crossJoin(queries.withColumn("__q", norm(F.col("query"))))
+    score = cosine_by_norms(F.col("vector"), F.col("query"), F.col("__n"), F.col("__q"))
+    scored = pairs.withColumn("score", score).filter("score IS NOT NULL").drop("query", "__n", "__q")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("parent_id").asc())
     return best_per_parent(scored, ("query_id",)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
