@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import filters as f
 from ..functions import ids, text
 from ..functions.chunking import Chunker, Limits
-from ..functions.counting import WordCounter
+from ..functions.counting import WordCounter, with_tokens
 from ..functions.filters import SearchFilters
-from ..functions.vectors import cosine
 from ..operators import context, embed, events, search, sessions, upsert, vectors
 from ..operators.mmr import rerank
 from ..sources import star
@@ -49,9 +48,8 @@ def search_sessions(spark, d):
 
 @query("session_point_read", f"WITH {SESSIONS_SQL} SELECT * FROM sessions WHERE session_id = (SELECT max(o_orderkey) FROM orders)")
 def session_point_read(spark, d):
-    s = star.sessions(spark, d)
-    last = star.table(spark, d, "orders").agg(F.max("o_orderkey").alias("session_id"))
-    return s.join(last, "session_id", "left_semi").limit(1)
+    last = star.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return sessions.get_session(star.sessions(spark, d), "", last)
 
 
 @query("list_sessions_page", "SELECT o_custkey AS user_id, o_orderkey AS session_id, o_orderpriority AS project_slug, o_orderstatus AS bundle, o_orderdate AS created FROM orders ORDER BY created DESC, session_id LIMIT 50 OFFSET 100")
@@ -209,10 +207,14 @@ def _first_vector(spark, d):
     return star.vectors(spark, d, "vec_id").filter("id = 0").select(F.lit(0).alias("query_id"), F.col("vector").alias("query"))
 
 
+def _first_values(spark, d) -> list[float]:
+    return list(_first_vector(spark, d).first().query)
+
+
 @query("cosine_topk", f"SELECT v.vec_id AS id, round({COSINE_SQL.format(a='v.embedding', b='q.embedding')}, 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {COSINE_SQL.format(a='v.embedding', b='q.embedding')} DESC, v.vec_id LIMIT 20")
 def cosine_topk(spark, d):
-    rows = star.vectors(spark, d, "vec_id").crossJoin(F.broadcast(_first_vector(spark, d))).withColumn("score", cosine(F.col("vector"), F.col("query")))
-    return rows.orderBy(F.col("score").desc(), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    found = vectors.nearest(star.vectors(spark, d, "vec_id"), _first_values(spark, d), 20)
+    return found.select("id", F.round("score", 6).alias("score"))
 
 
 @query("vector_search_best_per_parent", f"""WITH s AS (SELECT q.vec_id AS query_id, v.label AS parent_id, v.vec_id AS id, {COSINE_SQL.format(a='v.embedding', b='q.embedding')} AS score FROM embeddings v, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 8) q),
@@ -277,10 +279,13 @@ def sentence_split(spark, d):
     return star.table(spark, d, "benchmark").select("item_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query("line_split", "SELECT item_id, CAST(i - 1 AS INTEGER) AS line_no, string_split(text, chr(10))[i] AS line FROM benchmark, unnest(range(1, CAST(len(string_split(text, chr(10))) AS BIGINT) + 1)) AS u(i) WHERE trim(string_split(text, chr(10))[i]) <> ''")
+@query("line_split", """WITH lines AS (SELECT item_id, i, string_split(text, chr(10))[i] AS line
+  FROM benchmark, unnest(range(1, CAST(len(string_split(text, chr(10))) AS BIGINT) + 1)) AS u(i))
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INTEGER) AS line_no, line,
+  CAST(len(regexp_extract_all(line, '\\S+')) AS INTEGER) AS token_count FROM lines WHERE trim(line) <> ''""")
 def line_split(spark, d):
-    rows = star.table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.trim("line") != "")
+    rows = star.table(spark, d, "benchmark").select("item_id", F.lit("tool_output").alias("content_type"), F.col("text").alias("source_text"))
+    return embed.pieces(rows, CHUNKER, ("item_id",)).select("item_id", F.col("piece_index").alias("line_no"), F.col("piece").alias("line"), "token_count")
 
 
 CHUNKER = Chunker(WordCounter(), Limits(embed=400, target=200, overlap=30, least=20))
@@ -294,15 +299,7 @@ def chunk_documents(spark, d):
 
 @query("token_truncation", "SELECT item_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS n_tokens, regexp_extract(text, '^\\s*(\\S+\\s+){0,9}\\S+') AS head FROM benchmark")
 def token_truncation(spark, d):
-    counter = WordCounter()
-
-    def run(parts):
-        for rows in parts:
-            rows["n_tokens"] = rows["text"].map(counter.count).astype("int32")
-            rows["head"] = rows["text"].map(lambda t: counter.truncate(t, 10))
-            yield rows[["item_id", "n_tokens", "head"]]
-
-    return star.table(spark, d, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, n_tokens int, head string")
+    return with_tokens(star.table(spark, d, "benchmark"), WordCounter(), 10).select("item_id", "n_tokens", "head")
 
 
 # -- embedding and hybrid search ------------------------------------------------------------------------------
@@ -314,23 +311,74 @@ def _message_vectors(spark, d):
     return embed.message_vectors(star.messages(spark, d).withColumn("session_id", F.col("session_id").cast("string")), PROVIDER)
 
 
-@query("embedding_pipeline")
+@query("embedding_pipeline", """SELECT CAST(conv_id AS VARCHAR) || '_msg_' || CAST(turn AS VARCHAR) || '_' || t AS id, CAST(conv_id AS VARCHAR) || '_msg_' || CAST(turn AS VARCHAR) AS parent_id,
+  regexp_replace(t, '_0$', '') AS content_type, 0 AS chunk_index, 1 AS total_chunks,
+  CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS INTEGER) AS token_count, 64 AS dimensions
+FROM (SELECT *, CASE role WHEN 'user' THEN 'user_query_0' WHEN 'assistant' THEN 'assistant_response_0' WHEN 'tool' THEN 'tool_output_0' END AS t FROM conversations) WHERE t IS NOT NULL AND text <> ''""")
 def embedding_pipeline(spark, d):
-    return _message_vectors(spark, d).select("id", "parent_id", "content_type", "chunk_index", "total_chunks", "token_count", F.size("vector").alias("dimensions"))
+    found = _message_vectors(spark, d)
+    return found.select("id", "parent_id", "content_type", "chunk_index", "total_chunks", "token_count", F.size("vector").alias("dimensions"))
 
 
-@query("hybrid_search")
-def hybrid_search(spark, d):
-    m = star.messages(spark, d)
-    options = search.TranscriptSearchOptions("the of and", search_type="hybrid")
-    return search.search_transcripts(m, _message_vectors(spark, d).persist(), options, lambda q: PROVIDER.embed_batch([q])[0], 10).select("session_id", "sequence", "source", F.round("score", 6).alias("score"), "mmr_rank")
+STORED_SQL = """m AS (SELECT conv_id AS session_id, CAST(turn AS INTEGER) AS sequence, CAST(conv_id AS VARCHAR) || '_msg_' || CAST(turn AS VARCHAR) AS id,
+  role, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations),
+v AS (SELECT m.id AS parent_id, CASE role WHEN 'user' THEN 'user_query' WHEN 'assistant' THEN 'assistant_response' ELSE 'tool_output' END AS content_type,
+  text AS source_text, embedding AS vec FROM m JOIN embeddings ON vec_id = n),
+q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+scored AS (SELECT parent_id, content_type, {score} AS score FROM v, q)""".format(score=COSINE_SQL.format(a="v.vec", b="q.v"))
 
 
-@query("semantic_search")
+@query("semantic_search", f"""WITH {STORED_SQL} SELECT session_id, sequence, round(score, 6) AS score FROM scored JOIN m ON id = parent_id
+WHERE content_type IN ('user_query', 'assistant_response', 'assistant_thinking') ORDER BY scored.score DESC, parent_id LIMIT 20""")
 def semantic_search(spark, d):
-    m = star.messages(spark, d)
     options = search.TranscriptSearchOptions("the of and", search_type="semantic")
-    return search.search_transcripts(m, _message_vectors(spark, d), options, lambda q: PROVIDER.embed_batch([q])[0], 20).select("session_id", "sequence", F.round("score", 6).alias("score"))
+    found = search.search_transcripts(star.messages(spark, d), star.message_vectors(spark, d), options, lambda q: _first_values(spark, d), 20)
+    return found.select("session_id", "sequence", F.round("score", 6).alias("score"))
+
+
+def _legs_sql(word: str, limit: int) -> str:
+    """The transcript leg looks at assistants alone, the chunk leg at what assistants and tools said."""
+    return f"""t AS (SELECT session_id, sequence, id, row_number() OVER (ORDER BY session_id, sequence) AS k FROM m WHERE contains(text, '{word}') AND role = 'assistant' QUALIFY k <= {limit}),
+c AS (SELECT session_id, sequence, id, row_number() OVER (ORDER BY id) AS o FROM m JOIN v ON parent_id = id WHERE contains(source_text, '{word}') AND content_type IN ('assistant_response', 'tool_output') QUALIFY o <= {limit}),
+words AS (SELECT session_id, sequence, id, 'full_text' AS source, 0 AS leg, k FROM t
+  UNION ALL SELECT session_id, sequence, id, 'full_text_chunk', 1, row_number() OVER (ORDER BY session_id, sequence) FROM c),
+texts AS (SELECT *, row_number() OVER (ORDER BY leg, k) AS position FROM (SELECT * FROM words QUALIFY row_number() OVER (PARTITION BY session_id, sequence ORDER BY leg, k) = 1) QUALIFY position <= {limit})"""
+
+
+_WORD = "ther re"
+_ASSISTANT = {"search_in_user": False, "search_in_thinking": False, "search_in_tool": True}
+
+
+@query("full_text_two_legs", f"""WITH {STORED_SQL}, {_legs_sql("th", 250)} SELECT session_id, sequence, source, CAST(position AS INTEGER) AS position FROM texts""")
+def full_text_two_legs(spark, d):
+    options = search.TranscriptSearchOptions("th", search_type="full_text", **_ASSISTANT)
+    found = search.search_transcripts(star.messages(spark, d), star.message_vectors(spark, d), options, limit=250)
+    return found.select("session_id", "sequence", "source", "position")
+
+
+def _hybrid_sql(word: str, k: int) -> str:
+    wide = 3 * k
+    like = lambda a, b: f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 ELSE {COSINE_SQL.format(a=a, b=b)} END"
+    ctes = [f"""{STORED_SQL}, {_legs_sql(word, wide)},
+s AS (SELECT session_id, sequence, id, score, row_number() OVER (ORDER BY score DESC, parent_id) AS o FROM scored JOIN m ON id = parent_id WHERE content_type IN ('assistant_response', 'tool_output') QUALIFY o <= {wide}),
+both_ AS (SELECT session_id, sequence, id, source, 1.0 AS score, 0 AS leg, row_number() OVER (ORDER BY session_id, sequence) AS k FROM texts
+  UNION ALL SELECT session_id, sequence, id, 'semantic', score, 1, row_number() OVER (ORDER BY score DESC, session_id, sequence) FROM s),
+c1 AS (SELECT *, row_number() OVER (ORDER BY leg, k) AS p FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY session_id, sequence ORDER BY leg, k) = 1) QUALIFY p <= {2 * wide}),
+x AS (SELECT c1.*, v.vec AS w, {like("v.vec", "q.v")} AS r FROM c1 LEFT JOIN v ON v.parent_id = c1.id, q)"""]
+    for n in range(1, k + 1):
+        if n == 1:
+            ctes.append("p1 AS (SELECT p, w, 1 AS mmr_rank FROM x ORDER BY 0.7 * r + 0.3 DESC, p LIMIT 1)")
+        else:
+            ctes.append(f"y{n} AS (SELECT x.p, any_value(x.w) AS w, any_value(x.r) AS r, avg({like('x.w', 't.w')}) AS m FROM x, p{n - 1} t WHERE x.p NOT IN (SELECT p FROM p{n - 1}) GROUP BY 1)")
+            ctes.append(f"p{n} AS (SELECT * FROM p{n - 1} UNION ALL SELECT * FROM (SELECT p, w, {n} AS mmr_rank FROM y{n} ORDER BY 0.7 * r + 0.3 * (1 - m) DESC, p LIMIT 1))")
+    return f"WITH {', '.join(ctes)} SELECT session_id, sequence, source, round(score, 6) AS score, CAST(mmr_rank AS INTEGER) AS mmr_rank FROM p{k} JOIN x USING (p)"
+
+
+@query("hybrid_search", _hybrid_sql(_WORD, 4))
+def hybrid_search(spark, d):
+    options = search.TranscriptSearchOptions(_WORD, search_type="hybrid", **_ASSISTANT)
+    found = search.search_transcripts(star.messages(spark, d), star.message_vectors(spark, d), options, lambda q: _first_values(spark, d), 4)
+    return found.select("session_id", "sequence", "source", F.round("score", 6).alias("score"), "mmr_rank")
 
 
 @query("distinct_text_hashes", "SELECT DISTINCT sha256('m:' || text) AS text_hash FROM conversations WHERE text IS NOT NULL")
@@ -390,6 +438,109 @@ def backfill_candidates(spark, d):
     return upsert.unembedded(m, done).select("id")
 
 
+@query("upsert_session_batch", "SELECT o_custkey AS user_id, CAST(o_orderstatus AS VARCHAR) AS session_id, min_by(o_orderdate, o_orderkey) AS created, max_by(o_orderpriority, o_orderkey) AS project_slug, 0 AS turn_count FROM orders GROUP BY 1, 2")
+def upsert_session_batch(spark, d):
+    """Several versions of a session in one batch: created from the first, the rest from the last."""
+    o = star.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("session_id"), F.col("o_orderdate").alias("created"), F.col("o_orderpriority").alias("project_slug"), F.lit(None).cast("int").alias("turn_count"), F.col("o_orderkey").alias("order"))
+    return upsert.upsert_sessions(None, o, "order").drop("order")
+
+
+@query("upsert_events", "SELECT user_id, event_id AS sequence, CASE WHEN event_id % 5 = 0 THEN 'new' ELSE event_type END AS event, CASE WHEN event_id % 5 = 0 THEN CAST(octet_length(encode(props)) AS INTEGER) END AS data_size_bytes FROM events")
+def upsert_events(spark, d):
+    e = star.events(spark, d).drop("value")
+    new = e.filter("sequence % 5 = 0").withColumn("event", F.lit("new"))
+    return upsert.upsert_events(e, new, "sequence").select("user_id", "sequence", "event", "data_size_bytes")
+
+
+@query("store_precomputed_vectors", "SELECT CAST(vec_id AS VARCHAR) || '_tool_output_0' AS id, 0 AS chunk_index, 1 AS total_chunks, 0 AS span_start, CAST(vec_id % 7 AS INTEGER) AS span_end, 'm' AS embedding_model FROM embeddings")
+def store_precomputed_vectors(spark, d):
+    v = star.vectors(spark, d, "vec_id").withColumns({"content_type": F.lit("tool_output"), "source_text": F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))})
+    return upsert.precomputed_vectors(v, "m").select("id", "chunk_index", "total_chunks", "span_start", "span_end", "embedding_model")
+
+
+@query("vector_flags", "SELECT CAST(conv_id AS VARCHAR) || '_msg_' || CAST(turn AS VARCHAR) AS id, turn % 4 = 2 AS has_vectors FROM conversations")
+def vector_flags(spark, d):
+    m = star.messages(spark, d)
+    done = m.filter("sequence % 2 = 0").select(F.col("id").alias("parent_id"), F.when(F.col("sequence") % 4 != 0, F.array(F.lit(1.0))).alias("vector"))
+    return upsert.with_vector_flag(upsert.add_vector_flag(m), done).select("id", "has_vectors")
+
+
+@query("oversize_guard", "SELECT CAST(conv_id AS VARCHAR) || '_msg_' || CAST(turn AS VARCHAR) AS id, octet_length(encode(text)) > 200 AS content_truncated, CASE WHEN octet_length(encode(text)) > 200 THEN '[content of ' || octet_length(encode(text)) || ' bytes left out]' ELSE text END AS content FROM conversations")
+def oversize_guard(spark, d):
+    return upsert.oversize_guard(star.messages(spark, d), 200).select("id", "content_truncated", "content")
+
+
+_BLOCK_ROWS = "rows AS (SELECT conv_id AS session_id, CAST(turn AS INTEGER) AS sequence, CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END AS role, text, turn % 3 = 1 AS blocks FROM conversations)"
+
+
+@query("extract_blocks", f"""WITH {_BLOCK_ROWS} SELECT session_id, sequence, CASE role WHEN 'user' THEN 'user_query' WHEN 'assistant' THEN 'assistant_response' ELSE 'tool_output' END AS content_type,
+  CASE WHEN role = 'assistant' AND blocks THEN text || chr(10) || chr(10) || 'more' WHEN role = 'tool' THEN substr(text, 1, 10000) ELSE text END AS source_text
+FROM rows WHERE role IN ('user', 'assistant', 'tool') AND text <> '' UNION ALL SELECT session_id, sequence, 'assistant_thinking', 'thought ' || CAST(sequence AS VARCHAR) FROM rows WHERE role = 'assistant' AND blocks""")
+def extract_blocks(spark, d):
+    return text.unpivoted(text.extracted(star.block_messages(spark, d)), ["session_id", "sequence"])
+
+
+@query("block_type_counts", f"""WITH {_BLOCK_ROWS} SELECT CAST(count(*) FILTER (role = 'user' AND text <> '') AS BIGINT) AS user_query, CAST(count(*) FILTER (role = 'assistant' AND text <> '') AS BIGINT) AS assistant_response,
+  CAST(count(*) FILTER (role = 'assistant' AND blocks) AS BIGINT) AS assistant_thinking, CAST(count(*) FILTER (role = 'tool' AND text <> '') AS BIGINT) AS tool_output FROM rows""")
+def block_type_counts(spark, d):
+    return text.content_type_counts(text.extracted(star.block_messages(spark, d)))
+
+
+@query("display_content", f"""WITH {_BLOCK_ROWS} SELECT session_id, sequence, CASE WHEN role = 'assistant' AND blocks
+  THEN text || chr(10) || '[thinking] thought ' || CAST(sequence AS VARCHAR) || chr(10) || '[tool_use: ls]' || chr(10) || 'more' ELSE text END AS content FROM rows""")
+def display_content(spark, d):
+    return star.block_messages(spark, d).select("session_id", "sequence", text.display(F.col("content")).alias("content"))
+
+
+@query("context_without_tools", f"""WITH {_BLOCK_ROWS}, talk AS (SELECT * FROM rows WHERE role <> 'tool')
+SELECT session_id, sequence, role, 3 AS anchor FROM talk WHERE sequence BETWEEN 1 AND 5""")
+def context_without_tools(spark, d):
+    m = star.block_messages(spark, d)
+    hits = m.select("session_id").distinct().withColumn("sequence", F.lit(3))
+    return context.around(m, hits, "sequence", 2, 2, include_tools=False).select("session_id", "sequence", "role", "anchor")
+
+
+@query("type_lists", f"""WITH {STORED_SQL} SELECT id, CASE WHEN role = 'user' THEN len(vec) END AS user_query, CASE WHEN role = 'assistant' THEN len(vec) END AS assistant_response FROM m LEFT JOIN v ON parent_id = id""")
+def type_lists(spark, d):
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(c.removesuffix("_vector"))
+    return embed.type_lists(star.messages(spark, d), star.message_vectors(spark, d)).select("id", size("user_query_vector"), size("assistant_response_vector"))
+
+
+@query("without_vectors", "SELECT vec_id AS id, CAST(label AS BIGINT) AS parent_id, 'user_query' AS content_type FROM embeddings")
+def without_vectors(spark, d):
+    return f.no_vectors(star.vectors(spark, d))
+
+
+@query("activity_statistics", "SELECT 'messages' AS dimension, NULL AS key, count(*) AS n FROM conversations UNION ALL SELECT 'events', NULL, count(*) FROM events UNION ALL SELECT 'event_type', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'tool', 't' || CAST(event_id % 3 AS VARCHAR), count(*) FROM events GROUP BY 2")
+def activity_statistics(spark, d):
+    return sessions.activity_statistics(star.messages(spark, d), star.tool_events(spark, d))
+
+
+@query("search_tool_events", """SELECT event_id AS sequence, event_type AS event, ts, event_type AS content FROM events WHERE event_id % 3 = 1 AND event_id % 2 = 0 AND event_id % 5 = 0
+  AND user_id < 500 AND ts <= TIMESTAMP '2024-01-25' ORDER BY ts DESC, user_id, event_id LIMIT 40""")
+def search_tool_events(spark, d):
+    e = star.tool_events(spark, d)
+    found = events.search_events(e, tool_name="t1", model="m0", provider="p", level="info", project_slug="few", end_date="2024-01-25", limit=40)
+    return found.select("sequence", "event", "ts", "content")
+
+
+@query("event_display", """SELECT event_id AS sequence, CASE event_id % 4 WHEN 0 THEN 'tool:pre | tool=t' || CAST(event_id % 3 AS VARCHAR) WHEN 1 THEN 'llm:request | model=m' || CAST(event_id % 2 AS VARCHAR) || ' | provider=p'
+  WHEN 2 THEN 'delegate:agent_completed | agent=a' ELSE event_type END AS shown FROM events""")
+def event_display(spark, d):
+    kinds = F.expr("CASE sequence % 4 WHEN 0 THEN 'tool:pre' WHEN 1 THEN 'llm:request' WHEN 2 THEN 'delegate:agent_completed' ELSE event END")
+    return star.tool_events(spark, d).select("sequence", text.event_display(kinds, F.col("data")).alias("shown"))
+
+
+@query("vector_search_filtered", f"""WITH {STORED_SQL}, u AS (SELECT parent_id, session_id, score FROM scored JOIN m ON id = parent_id WHERE session_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4))
+SELECT parent_id, round(score, 6) AS score FROM u ORDER BY u.score DESC, parent_id LIMIT 15""")
+def vector_search_filtered(spark, d):
+    """Filters that only sessions know: vectors are joined to them by their own session id."""
+    m = star.messages(spark, d)
+    of_sessions = m.groupBy("session_id").agg(F.count("*").alias("turn_count")).withColumns({c: F.lit(None).cast("string") for c in ("project_slug", "bundle", "metadata")}).withColumn("created", F.lit(None).cast("timestamp"))
+    own = f.on_vectors(star.message_vectors(spark, d), "", SearchFilters(min_turn_count=4), m, of_sessions)
+    return vectors.vector_search(own, _first_values(spark, d), 15).select("parent_id", F.round("score", 6).alias("score"))
+
+
 # -- event-time windows ---------------------------------------------------------------------------------------
 
 
