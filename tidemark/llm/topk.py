@@ -5,7 +5,8 @@ from the end that helps it (the top where its own value is positive, else the bo
 object met in any of them gets its full score. The last values read, and the length of one, bound the score of every
 object not met yet. Each query stops by itself once its k-th best score beats that bound. Depths double; a query
 whose bound doesn't fall low enough before it has read ``WIDE`` times as many entries as there are objects takes the
-rest of the index as met, and its scores come from one matrix product with all queries of that kind.
+rest of the index as met, and its scores come from one matrix product with all queries of that kind. So does, from
+``DOUBT`` times as many on, one whose bound even at that depth would not be below the k-th score it has by then.
 
 Scores are first computed in single precision. Those that could be among the k best within its rounding error are then
 scored in double precision and ranked by the score rounded to nine digits, then id, so ties are exact.
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import checkpoint, col, kind
 
 K, PART_ROWS, BATCH, DIGITS, SLACK = 10, 65536, 256, 9, 4e-6
-FIRST_DEPTH, WIDE = 4, 0.5
+FIRST_DEPTH, WIDE, DOUBT = 4, 0.5, 1 / 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -85,6 +86,11 @@ class Index:
         live, rest, before, depth = np.arange(len(q)), [], 0, min(FIRST_DEPTH, n)
         while len(live):
             wide = depth * lists[live] > WIDE * n
+            doubt = np.flatnonzero(~wide & (depth * lists[live] > DOUBT * n))
+            for m in np.unique(lists[live[doubt]]).tolist():
+                same = doubt[lists[live[doubt]] == m]
+                end = min(n, max(depth, int(WIDE * n) // m))
+                wide[same] = self.bound(q[live[same]], end) >= kth[live[same]]
             rest.append(live[wide])
             live = live[~wide]
             if not len(live):
