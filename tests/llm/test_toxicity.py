@@ -136,6 +136,23 @@ def test_more_kinds_than_the_bound_shorten_the_order(spark):
     assert sum(got[k] for k, _, y in held if not y) <= 0.02 * len(held)
 
 
+def test_models_don_t_depend_on_the_number_of_kinds(spark, monkeypatch):
+    """However many kinds are counted, the models are those of the definition, of the whole order."""
+    rows = [*corpus(random.Random(8), 300), (300, "日本語のテキスト \U0001f600x naïve", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    half = t.labelled(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = t.gram_counts(half).toArrow().sort_by("g")
+    names, n = np.array(got.column("g").to_pylist(), object), [got.column(f"n{k}").to_numpy() for k in range(4)]
+    monkeypatch.setattr(type(half), "count", lambda self: 10**9)
+    models = t._models(half, t.MODEL_ENTRIES)
+    for model, (a, b) in zip(models, ((n[0], n[1]), (n[2], n[3]), (n[0] + n[2], n[1] + n[3])), strict=True):
+        at = a + b > 0
+        want = t.Model(names[at].tolist(), a[at], b[at])
+        assert model.order == want.order == t.ORDER
+        for k in ("gram", "gram_llr", "context", "context_llr"):
+            assert np.array_equal(getattr(model, k), getattr(want, k)), k
+
+
 def test_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     rows = t.toxicity(awkward, labels).collect()

@@ -16,8 +16,8 @@ of the other half of the labelled documents, expressions without the document's
 of toxic documents missed plus ``FALSE_COST`` (for windows, which guess at words never seen, ``WINDOW_FALSE_COST``) times
 the share of ordinary ones rejected is least. A document's score is the largest of its measures in units of their bars, and above 1 it is rejected.
 
-The counts cover all labelled documents. Only n-grams and expressions reach the driver. There are at most
-``MODEL_ENTRIES`` n-grams: where there are more, all their counts go into n-grams that are a character shorter. Of
+The counts cover all labelled documents. The models are worked out where the n-grams lie; the driver and the tasks get a key
+and a ratio for each n-gram and each context, however many there are (a caller may set a bound, see ``_models``). Of
 expressions at most ``WORD_ENTRIES`` are kept: where there are more, those in the fewest toxic documents go.
 """
 
@@ -30,14 +30,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import M64, checkpoint, col, mix, words
 
 ORDER, WINDOWS, THRESHOLD, DISCOUNT = 5, (1, 3, 8, 24), 1.0, 0.75
-BROADCAST_LABELS, MODEL_ENTRIES, CACHE_WORDS = 1_000_000, 20_000_000, 600_000
+BROADCAST_LABELS, MODEL_ENTRIES, CACHE_WORDS = 1_000_000, None, 600_000
 LEAST_DOCS, BEST_WORDS, FALSE_COST, WINDOW_FALSE_COST, WORD_ENTRIES, BIN = 2, 2, 10, 60, 20_000_000, 1 / 20
+MODELS = 3  # of the first half, of the second half and of all labelled documents
 EXPRESSIONS = len(WINDOWS) + 1  # the number of the measure by expressions, behind those by windows
 START, END = "\x02", "\x03"
 
@@ -257,6 +258,11 @@ def vocabulary(rows: DataFrame, word_entries: int = WORD_ENTRIES) -> Vocabulary:
     return Vocabulary(key[kept], n0[kept], n1[kept])
 
 
+def _codes(names: list[str], width: int) -> np.ndarray:
+    """The characters of names of one width, a row for each."""
+    return np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).reshape(len(names), width)
+
+
 def _hash(codes: np.ndarray) -> np.ndarray:
     """A 64-bit key of each row of character codes."""
     h = np.zeros(len(codes), np.uint64)
@@ -266,6 +272,19 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
+def _weight(total: np.ndarray, kinds: np.ndarray, d: float) -> np.ndarray:
+    """The share of the backoff distribution after contexts with this many n-grams and kinds of them."""
+    return np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
+
+
+def _log_p(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, d: float, shared: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(n - d, 0) / np.maximum(total, 1) + _weight(total, kinds, d) * shared)
+
+
 class Model:
     """The difference of the two models for each n-gram seen, and for each context seen."""
 
@@ -274,22 +293,32 @@ class Model:
         if self.empty:
             return
         self.order = len(names[0])
-        codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).reshape(-1, self.order)
+        codes = _codes(names, self.order)
         shared = self._shared(codes[:, 1:])
         context, at = np.unique(_hash(codes[:, :-1]), return_inverse=True)
         log_p, log_weight = [], []
         for n in (n0, n1):
             total, kinds = np.bincount(at, n, len(context)), np.bincount(at, n > 0, len(context))
             once, twice = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
-            d = once / (once + 2 * twice) if once and twice else DISCOUNT
-            weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            log_p.append(np.log(np.maximum(n - d, 0) / np.maximum(total[at], 1) + weight[at] * shared))
-            log_weight.append(np.log(weight))
+            d = _discount(once, twice)
+            log_p.append(_log_p(n, total[at], kinds[at], d, shared))
+            log_weight.append(np.log(_weight(total, kinds, d)))
         key = _hash(codes)
         order = np.argsort(key)
         self.gram, self.gram_llr = key[order], (log_p[1] - log_p[0])[order].astype(np.float32)
         self.context, self.context_llr = context, (log_weight[1] - log_weight[0]).astype(np.float32)
 
+    @classmethod
+    def of(cls, order: int, grams: pa.Table, contexts: pa.Table) -> Model:
+        """The model of (key, ratio) of its n-grams and contexts; without any it is empty."""
+        model = cls.__new__(cls)
+        model.empty = not grams.num_rows
+        if not model.empty:
+            model.order = order
+            model.gram, model.gram_llr = _by_key(grams)
+            model.context, model.context_llr = _by_key(contexts)
+        return model
+
     @staticmethod
     def _shared(codes: np.ndarray) -> np.ndarray:
         """The Kneser-Ney probability of each row's last character after those before it, from the kinds of
@@ -352,23 +381,92 @@ class Model:
         return out
 
 
-def _models(rows: DataFrame, model_entries: int) -> tuple[Model, Model, Model]:
-    """The models of the first half, of the second half and of all labelled rows."""
-    counts = checkpoint(gram_counts(rows))
-    kinds = counts.count()
-    for _ in range(ORDER - 1):
-        if kinds <= model_entries:
-            break
-        shorter = F.substring("g", 2, ORDER).alias("g")
-        counts = counts.groupBy(shorter).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
-        kinds = counts.count()
-    got = counts.toArrow().sort_by("g")
-    names, n = got.column("g").to_pylist(), [got.column(f"n{k}").to_numpy() for k in range(4)]
-    parts = []
-    for k in (0, 2):
-        at = np.flatnonzero(n[k] + n[k + 1])
-        parts.append(Model([names[i] for i in at.tolist()], n[k][at], n[k + 1][at]))
-    return *parts, Model(names, n[0] + n[2], n[1] + n[3])
+def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, ratio = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], ratio[order]
+
+
+def _shared_p(counts: DataFrame, order: int) -> DataFrame | None:
+    """(h, p0, p1, p2): what ``Model._shared`` gives for the n-grams that end in h, in each model; None if h is empty."""
+    level = counts.select("g", *((F.col(f"a{m}") + F.col(f"b{m}")).alias(f"k{m}") for m in range(MODELS)))
+    levels = []
+    for width in range(order - 1, 0, -1):
+        kinds = (F.sum((F.col(f"k{m}") > 0).cast("long")).alias(f"k{m}") for m in range(MODELS))
+        level = level.groupBy(F.substring("g", 2, width).alias("g")).agg(*kinds)
+        levels.append((width, level))
+    lower = None
+    for width, level in reversed(levels):
+        within = Window.partitionBy(F.substring("g", 1, width - 1))
+        if lower is not None:
+            level = level.join(lower, F.substring("g", 2, width - 1) == F.col("h"))
+        ps = []
+        for m in range(MODELS):
+            k = F.col(f"k{m}")
+            total, types = F.nullif(F.sum(k).over(within), F.lit(0)), F.sum((k > 0).cast("long")).over(within)
+            below = F.lit(1.0) / (types + 1) if lower is None else F.col(f"p{m}")  # one more for what was never seen
+            ps.append(F.when(k > 0, (k - DISCOUNT) / total + F.lit(DISCOUNT) * types / total * below).alias(f"p{m}"))
+        lower = level.select(F.col("g").alias("h"), *ps)
+    return lower
+
+
+def _ratios(discounts: list[tuple[float, float] | None], width: int, grams: bool):
+    """(key, r0, r1, r2) from rows (g, [p0, p1, p2,] and for each model and class [how often it stands there,] how many
+    n-grams and how many kinds of them its context has): the ratios of n-grams or of contexts, null where a model has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names) if name != "g"}
+            out = []
+            for m, ds in enumerate(discounts):
+                at, logs = own[f"a{m}" if grams else f"ta{m}"] + own[f"b{m}" if grams else f"tb{m}"] > 0, []
+                for c, d in zip("ab", ds or ()):
+                    total, kinds = own[f"t{c}{m}"][at], own[f"k{c}{m}"][at]
+                    logs.append(_log_p(own[f"{c}{m}"][at], total, kinds, d, own[f"p{m}"][at]) if grams else np.log(_weight(total, kinds, d)))
+                ratio = np.zeros(len(at), np.float32)
+                if logs:
+                    ratio[at] = logs[1] - logs[0]
+                out.append(pa.array(ratio, mask=~at if logs else np.ones(len(at), bool)))
+            key = _hash(_codes(batch.column("g").to_pylist(), width)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *out], names=["key", *(f"r{m}" for m in range(MODELS))])
+
+    return run
+
+
+def _models(rows: DataFrame, model_entries: int | None = MODEL_ENTRIES) -> tuple[Model, ...]:
+    """The models of the first half, of the second half and of all labelled rows.
+
+    Each is equal to ``Model`` of its n-grams, but worked out by joins, so that the driver gets no more than keys and ratios.
+    Only if a caller bounds the kinds of n-grams, all counts of more go into n-grams that are a character shorter.
+    """
+    counts, order = checkpoint(gram_counts(rows)), ORDER
+    while model_entries is not None and order > 1 and counts.count() > model_entries:
+        counts = counts.groupBy(F.substring("g", 2, ORDER).alias("g")).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
+        order -= 1
+    halves = [F.col(f"n{k}").alias(f"{c}{m}") for m in (0, 1) for c, k in (("a", 2 * m), ("b", 2 * m + 1))]
+    counts = counts.select("g", *halves, (F.col("n0") + F.col("n2")).alias("a2"), (F.col("n1") + F.col("n3")).alias("b2"))
+    names = [f"{c}{m}" for m in range(MODELS) for c in "ab"]
+    of = {"s": F.sum, "o": lambda n: F.count_if(F.col(n) == 1), "w": lambda n: F.count_if(F.col(n) == 2)}
+    sums = counts.agg(*(f(n).alias(k + n) for k, f in of.items() for n in names)).first()
+    discounts = []
+    for m in range(MODELS):
+        both = sums[f"sa{m}"] and sums[f"sb{m}"]
+        discounts.append(tuple(_discount(sums[f"o{c}{m}"], sums[f"w{c}{m}"]) for c in "ab") if both else None)
+
+    context = F.substring("g", 1, order - 1)
+    around = [x for n in names for x in (F.sum(n).alias("t" + n), F.count_if(F.col(n) > 0).alias("k" + n))]
+    contexts = counts.groupBy(context.alias("g")).agg(*around)
+    within = Window.partitionBy(context)
+    seen = [x for n in names for x in (F.sum(n).over(within).alias("t" + n), F.sum((F.col(n) > 0).cast("long")).over(within).alias("k" + n))]
+    shared = _shared_p(counts, order)
+    if shared is None:
+        grams = counts.select("*", *(F.lit(1.0).alias(f"p{m}") for m in range(MODELS)))
+    else:
+        grams = counts.join(shared, F.substring("g", 2, order - 1) == F.col("h")).drop("h")
+    schema = "key long, r0 float, r1 float, r2 float"
+    grams = checkpoint(grams.select("*", *seen).mapInArrow(_ratios(discounts, order, True), schema))
+    contexts = checkpoint(contexts.mapInArrow(_ratios(discounts, order - 1, False), schema))
+    return tuple(Model.of(order, *(t.select("key", f"r{m}").filter(f"r{m} IS NOT NULL").toArrow() for t in (grams, contexts))) for m in range(MODELS))
 
 
 def _bars(rows: DataFrame, halves: tuple[Model, Model], found: Vocabulary) -> dict[int, float]:
@@ -397,7 +495,7 @@ def _bars(rows: DataFrame, halves: tuple[Model, Model], found: Vocabulary) -> di
     return {m: bar for m, bar in bars.items() if bar is not None and bar > 0}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", model_entries: int = MODEL_ENTRIES):
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", model_entries: int | None = MODEL_ENTRIES):
     """The broadcast model, vocabulary and bars over all labelled documents. Several labels of one id count as toxic if
     any is."""
     rows = labelled(docs, labels, id_col, text_col, toxic_col)
