@@ -187,6 +187,21 @@ def test_words_beyond_the_bound_go_by_toxic_documents(spark):
     assert list(t.vocabulary(rows, 1).evidence(["often", "seldom", "plain"])) == ["often"]
 
 
+def test_every_expression_is_kept_in_any_number_of_passes(spark, monkeypatch):
+    texts = [(text, k % 2) for k, text, _ in corpus(random.Random(9), 120)]
+    n = defaultdict(lambda: [0, 0])
+    for text, y in texts:
+        for w in t.Texts([t.words(text)]).expressions()[1].tolist():
+            n[w][y] += 1
+    want = {w: tuple(x) for w, x in n.items() if x[1] >= max(x[0], t.LEAST_DOCS)}
+    cut = t._most_toxic
+    monkeypatch.setattr(t, "_most_toxic", lambda held, room: cut(held, 1))  # as if there were more than any bound
+    monkeypatch.setattr(t, "KEYS_AT_ONCE", sum(x[1] >= t.LEAST_DOCS for x in n.values()) // 3, raising=False)
+    found = t.vocabulary(spark.createDataFrame(texts, "t string, y int"))
+    assert len(want) > 100 and dict(zip(found.key.tolist(), zip(found.n0.tolist(), found.n1.tolist()))) == want
+    assert found.keys.find(found.key).tolist() == list(range(len(want)))
+
+
 def test_ids_keep_their_type_and_names_may_clash(spark):
     docs = spark.createDataFrame([(f"d{k}", "vile words" if k % 2 else "kind words", k, k) for k in range(40)], "doc_id string, text string, toxic_score int, y int")
     labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(30)], "doc_id string, toxic int")

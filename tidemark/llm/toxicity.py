@@ -17,8 +17,8 @@ of toxic documents missed plus ``FALSE_COST`` (for windows, which guess at words
 the share of ordinary ones rejected is least. A document's score is the largest of its measures in units of their bars, and above 1 it is rejected.
 
 The counts cover all labelled documents. The models are worked out where the n-grams lie; the driver and the tasks get a key
-and a ratio for each n-gram and each context, however many there are (a caller may set a bound, see ``_models``). Of
-expressions at most ``WORD_ENTRIES`` are kept: where there are more, those in the fewest toxic documents go.
+and a ratio for each n-gram and each context, however many there are (a caller may set a bound, see ``_models``).
+Expressions of toxic documents are looked for in ordinary ones ``KEYS_AT_ONCE`` at a time, and all that can speak are kept.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ from .common import M64, checkpoint, col, mix, words
 
 ORDER, WINDOWS, THRESHOLD, DISCOUNT = 5, (1, 3, 8, 24), 1.0, 0.75
 BROADCAST_LABELS, MODEL_ENTRIES, CACHE_WORDS = 1_000_000, None, 600_000
-LEAST_DOCS, BEST_WORDS, FALSE_COST, WINDOW_FALSE_COST, WORD_ENTRIES, BIN = 2, 2, 10, 60, 20_000_000, 1 / 20
+LEAST_DOCS, BEST_WORDS, FALSE_COST, WINDOW_FALSE_COST, WORD_ENTRIES, BIN = 2, 2, 10, 60, None, 1 / 20
+KEYS_AT_ONCE = 10_000_000
 MODELS = 3  # of the first half, of the second half and of all labelled documents
 EXPRESSIONS = len(WINDOWS) + 1  # the number of the measure by expressions, behind those by windows
 START, END = "\x02", "\x03"
@@ -173,7 +174,8 @@ def _ordinary_keys(keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(keys.value.sorted), np.int64)
         for texts in _texts(batches):
-            n += np.bincount(texts.held(keys.value)[1], minlength=len(n))
+            found, times = np.unique(texts.held(keys.value)[1], return_counts=True)
+            n[found] += times
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(keys.value.sorted[at].view(np.int64)), pa.array(n[at])], names=["w", "n0"])
 
@@ -198,6 +200,7 @@ class Vocabulary:
         order = np.argsort(key)
         self.key, self.n0, self.n1 = key[order], n0[order].astype(np.int32), n1[order].astype(np.int32)
         self.keys = Keys(self.key)
+        self.key = self.keys.sorted  # the same, held once
 
     def odds(self, at: np.ndarray, own: int | None = None) -> np.ndarray:
         """The log-odds of the expressions at these places, 0 for those that can't speak; own is the class of the
@@ -241,10 +244,9 @@ def set_bar(counts: Iterable[tuple[int, int, int]], false_cost: float = FALSE_CO
     return bar
 
 
-def vocabulary(rows: DataFrame, word_entries: int = WORD_ENTRIES) -> Vocabulary:
-    """The expressions of labelled rows (t, y): those of toxic documents first, then how many ordinary ones have them."""
-    toxic = rows.filter("y = 1").select("t").mapInArrow(_toxic_keys, "w long, n1 long").groupBy("w").agg(F.sum("n1").alias("n1"))
-    got = _most_toxic(checkpoint(toxic.filter(F.col("n1") >= LEAST_DOCS)), word_entries).toArrow()
+def _speaking(rows: DataFrame, held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, n0, n1) of those expressions (w, n1) that no more ordinary documents than toxic ones hold."""
+    got = held.toArrow()
     key, n1 = got.column("w").to_numpy().view(np.uint64), got.column("n1").to_numpy()
     order = np.argsort(key)
     key, n1, n0 = key[order], n1[order], np.zeros(len(key), np.int64)
@@ -255,7 +257,22 @@ def vocabulary(rows: DataFrame, word_entries: int = WORD_ENTRIES) -> Vocabulary:
         n0[np.searchsorted(key, got.column("w").to_numpy().view(np.uint64))] = got.column("n0").to_numpy()
         wanted.destroy()
     kept = n1 >= n0
-    return Vocabulary(key[kept], n0[kept], n1[kept])
+    return key[kept], n0[kept], n1[kept]
+
+
+def vocabulary(rows: DataFrame, word_entries: int | None = WORD_ENTRIES) -> Vocabulary:
+    """The expressions of labelled rows (t, y): those of toxic documents first, then how many ordinary ones have them.
+
+    The ordinary ones are read once for every ``KEYS_AT_ONCE`` expressions, which changes nothing in what is found. Only if a
+    caller bounds the expressions, those in the fewest toxic documents go.
+    """
+    toxic = rows.filter("y = 1").select("t").mapInArrow(_toxic_keys, "w long, n1 long").groupBy("w").agg(F.sum("n1").alias("n1"))
+    held = checkpoint(toxic.filter(F.col("n1") >= LEAST_DOCS))
+    if word_entries is not None:
+        held = _most_toxic(held, word_entries)
+    passes = max(1, -(-held.count() // KEYS_AT_ONCE))
+    parts = [_speaking(rows, held.filter(F.pmod("w", F.lit(passes)) == k)) for k in range(passes)]
+    return Vocabulary(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def _codes(names: list[str], width: int) -> np.ndarray:
