@@ -1,7 +1,8 @@
 """Keyed upserts and deletes as folds over rows.
 
 An upsert is the union of what is stored and what comes in, folded by key in one shuffle: the columns that keep
-their first value take it from the least version, the others from the greatest. Nothing is updated in place.
+their first value take it from the least version, the others from the greatest. Nothing is updated in place. The shuffle
+has as many tasks as the input asks for, each of which sorts its rows once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.layout import by_key
 from ..schemas import CONTENT_TYPES
 
 SESSION_KEY, SESSION_FIRST = ("user_id", "session_id"), ("created",)
@@ -25,7 +27,7 @@ def fold(log: DataFrame, key: Sequence[str], version: str, first_wins: Sequence[
     first = [c for c in log.columns if c in first_wins]
     last = [c for c in log.columns if c not in first_wins and c not in key and c != version]
     packed = [F.max_by(F.struct(*last), version).alias("__last")] + ([F.min_by(F.struct(*first), version).alias("__first")] if first else [])
-    rows = log.groupBy(*key).agg(*packed, F.max(version).alias(version))
+    rows = by_key(log, *key).groupBy(*key).agg(*packed, F.max(version).alias(version))
     columns = [F.col(c) if c in key or c == version else F.col(f"__first.{c}" if c in first else f"__last.{c}").alias(c) for c in log.columns]
     return rows.select(*(c for c, name in zip(columns, log.columns) if keep_version or name != version))
 
@@ -47,7 +49,7 @@ def upsert_sessions(stored: DataFrame | None, incoming: DataFrame, order: str |
 def numbered(lines: DataFrame, order: str, start_sequence: int = 0, mark: str = "msg") -> DataFrame:
     """Gives lines of each session their sequence in the given order, whatever they say themselves, and their id."""
     w = Window.partitionBy("user_id", "session_id").orderBy(order)
-    rows = lines.withColumn("sequence", (F.row_number().over(w) - 1 + start_sequence).cast("int"))
+    rows = by_key(lines, "user_id", "session_id").withColumn("sequence", (F.row_number().over(w) - 1 + start_sequence).cast("int"))
     make = ids.message_id if mark == "msg" else ids.event_id
     return rows.withColumn("id", make(F.col("session_id"), F.col("sequence")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.layout import by_key
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +28,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with a sequence within their order; the number given to them isn't unique."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), (F.row_number().over(w) - 1).alias("sequence"), F.col("l_linenumber").alias("turn"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("role"))
+    return by_key(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("session_id"), (F.row_number().over(w) - 1).alias("sequence"), F.col("l_linenumber").alias("turn"), F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("role"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
